@@ -6,6 +6,8 @@ import gc
 import tempfile
 import time
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package once a session, wherever their Python's path leads."""
+    context = spark.sparkContext
+    if not getattr(context, "_cytospark_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        file = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(file, "w") as z:
+            for x in package.rglob("*.py"):
+                z.write(x, x.relative_to(package.parent))
+        context.addPyFile(str(file))
+        context._cytospark_shipped = True
+
+
 class Stash:
     """Tables written to the shared folder to cut lineage: a lost executor costs a re-read, not a recomputation.
 
@@ -37,6 +52,7 @@ class Stash:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
 
