@@ -1,4 +1,6 @@
-"""Registry of the engine's own queries and the SQL they are held against."""
+"""All registered queries of the engine and the SQL they are held against."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .plans.catalogue import ORACLE, QUERIES
+from .plans import control  # noqa: F401  (registers its queries)
+
+__all__ = ["ORACLE", "QUERIES"]
