@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import chat, mixing
 from .chat import op9
+from .katz import op7
 from .mixing import op10
 from .neardup import op1
 from .packing import op8
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_substring_dedup": op4,
     "op5_embedding_dedup": op5,
     "op6_quality_rules": op6,
+    "op7_lm_scoring": op7,
     "op8_best_fit_packing": op8,
     "op9_chat_formatting": op9,
     "op10_source_mixing": op10,
