@@ -59,9 +59,13 @@ def matvec(matrix, array: Column) -> Column:
     return F.transform(F.array(*rows), dot)
 
 
-def preprocess(df: DataFrame, matrix=None, channels: list[str] | None = None, cofactor: float = PREPROCESS_COFACTOR) -> DataFrame:
-    """Compensate and scale biexponentially where there is a matrix, else arcsinh, on the fluorescence channels."""
-    named = [c for c in fluorescence_channels(df.columns) if c in (channels or df.columns)]
+def preprocess(df: DataFrame, matrix=None, channels: list[str] | None = None, cofactor: float = PREPROCESS_COFACTOR, scaled: list[str] | None = None) -> DataFrame:
+    """Compensate the channels and scale biexponentially where there is a matrix, else arcsinh.
+
+    What is scaled: the given columns, or the fluorescence channels among the channels or all numeric columns.
+    """
+    numeric = [c for c, t in df.dtypes if t in ("float", "double", "int", "bigint") and not c.endswith("_idx")]
+    named = scaled or [c for c in fluorescence_channels(channels or numeric)]
     if matrix is not None:
         df, scale = compensate(df, matrix, channels), Biexponential()
     else:

@@ -217,3 +217,42 @@ def filter_events(df: DataFrame, gates: GateSet, *ids: str) -> DataFrame:
 def filter_mask(df: DataFrame, mask: DataFrame, keys: list[str], column: str = "keep") -> DataFrame:
     """Rows whose mask row is true, by key."""
     return df.join(mask.where(F.col(column)).select(*keys), keys, "left_semi")
+
+
+def to_dict(g: Gate) -> dict:
+    """A gate as JSON-ready values: geometry tagged by type, mode by name."""
+    s = g.geometry
+    kind = {Polygon: "Polygon", Rectangle: "Rectangle", Ellipse: "Ellipse", Boolean: "Boolean"}[type(s)]
+    shape = {
+        "Polygon": lambda: {"nodes": [list(n) for n in s.nodes], "closed": s.closed},
+        "Rectangle": lambda: {"min": list(s.low), "max": list(s.high), "half_open": s.half_open},
+        "Ellipse": lambda: {"center": list(s.mid), "radius_x": s.rx, "radius_y": s.ry, "angle": s.angle},
+        "Boolean": lambda: {"operation": s.op, "operands": list(s.operands)},
+    }[kind]()
+    files = g.mode.files
+    mode = {"name": "Global"} if files is None else {"name": "FileSpecific", "guid": files[0]} if len(files) == 1 else {"name": "FileGroup", "guids": list(files)}
+    return {"id": g.id, "name": g.name, "geometry": {"type": kind, **shape}, "mode": mode, "parameters": [g.x, g.y]}
+
+
+def from_dict(d: dict) -> Gate:
+    s, m = d["geometry"], d["mode"]
+    try:
+        geometry = {
+            "Polygon": lambda: Polygon(tuple(map(tuple, s["nodes"])), s["closed"]),
+            "Rectangle": lambda: Rectangle(tuple(s["min"]), tuple(s["max"]), s.get("half_open", False)),
+            "Ellipse": lambda: Ellipse(tuple(s["center"]), s["radius_x"], s["radius_y"], s["angle"]),
+            "Boolean": lambda: Boolean(s["operation"], tuple(s["operands"])),
+        }[s["type"]]()
+        files = {"Global": lambda: None, "FileSpecific": lambda: (m["guid"],), "FileGroup": lambda: tuple(m["guids"])}[m["name"]]()
+    except KeyError as e:
+        raise GateError(f"gate {d.get('id')!r} lacks {e}") from e
+    return Gate(d["id"], geometry, *d["parameters"], d["name"], Mode(files))
+
+
+def with_file(mode: Mode, file: str) -> Mode:
+    """The mode with a file more; a gate for all files stays one for all."""
+    return mode if mode.files is None or file in mode.files else Mode((*mode.files, file))
+
+
+def without_file(mode: Mode, file: str) -> Mode:
+    return mode if mode.files is None else Mode(tuple(f for f in mode.files if f != file))

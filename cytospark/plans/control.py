@@ -270,3 +270,17 @@ def monotonic(spark, sf):
   select round(1 - 6 * sum(pow(ra - rb, 2)) / (count(*) * (count(*) * count(*) - 1)), 6) as rho from a""")
 def spearman(spark, sf):
     return rounded(T.spearman(B.bin_medians(events(spark, sf), "value", PER), "bin", "median"))
+
+
+@query()
+def qc_summary(spark, sf):
+    from .batch import summary
+
+    return summary(events(spark, sf).select("event_idx", "value"), Config(("value",), per_bin=100))
+
+
+@query()
+def mad_contribution(spark, sf):
+    from .batch import mad_contribution as contribution
+
+    return contribution(O.mad_bins(O.smoothed(_features(spark, sf, 100)), 2.0))
