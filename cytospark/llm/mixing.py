@@ -84,11 +84,11 @@ def mix(docs: DataFrame, stash: Stash) -> DataFrame:
     """The documents' columns and mix_size_, mix_copies_, mix_source_size_, mix_target_ of every document."""
     full = hashed(docs).withColumn("mix_size_", n_words(F.col("text")))
     sized = stash(full.select("source", F.col("mix_size_").alias("size"), F.col("mix_h_").alias("h")), "mix-sized")
-    at = plan(sized, stash).withColumnRenamed("source", "mix_source_")
     # the plan has one row a source; Spark broadcasts it while it is small, else joins by a shuffle it can split
+    at = plan(sized, stash).select(*(F.col(c).alias(f"mix_{c}_") for c in ("source", "source_size", "target", "passes", "threshold")))
     out = full.join(at, F.col("source").eqNullSafe(F.col("mix_source_")), "left")
-    copies = F.col("passes") + (F.col("mix_h_") < F.col("threshold")).cast("int")
-    return out.select(*docs.columns, "mix_size_", copies.alias("mix_copies_"), F.col("source_size").alias("mix_source_size_"), F.col("target").alias("mix_target_"))
+    copies = F.col("mix_passes_") + (F.col("mix_h_") < F.col("mix_threshold_")).cast("int")
+    return out.select(*docs.columns, "mix_size_", copies.alias("mix_copies_"), "mix_source_size_", "mix_target_")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
