@@ -67,7 +67,7 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Index:
     """Centroids and residual codebooks: a bounded model, at most lists * dim and codes * dim numbers."""
 
-    def __init__(self, x: np.ndarray, lists: int, parts: int = 16, codes: int = 256, seed: int = 5):
+    def __init__(self, x: np.ndarray, lists: int, parts: int = 16, codes: int = 32, seed: int = 5):
         self.centroids = kmeans(x, lists, 8, seed)
         self.parts = next(p for p in range(min(parts, x.shape[1]), 0, -1) if x.shape[1] % p == 0)
         self.width = x.shape[1] // self.parts
@@ -92,10 +92,10 @@ class Index:
         gap = np.sqrt(np.maximum(((c[own][:, None] - c[None]) ** 2).sum(2), 1e-300)) if len(x) * len(c) * c.shape[1] < 5e7 else np.sqrt(np.maximum((c * c).sum(1)[own][:, None] + (c * c).sum(1)[None] - 2 * c[own] @ c.T, 1e-300))
         return (d - d[np.arange(len(x)), own][:, None]) / (2 * gap) <= reach
 
-    def tables(self, x: np.ndarray, at: int) -> np.ndarray:
-        """Squared distances of each query's residual parts to each code of a list: (queries, parts, codes)."""
-        r = x - self.centroids[at]
-        return np.stack([((r[:, self.cut(p), None] - b.T[None]) ** 2).sum(1) for p, b in enumerate(self.books)], 1)
+    def tables(self, x: np.ndarray, at: int) -> list[np.ndarray]:
+        """For each part, squared distances of each code of a list to each query's residual: (codes, queries)."""
+        r = (x - self.centroids[at]).T
+        return [(b * b).sum(1)[:, None] - 2 * (b @ r[self.cut(p)]) + (r[self.cut(p)] ** 2).sum(0)[None] for p, b in enumerate(self.books)]
 
 
 def prepared(vectors: DataFrame, dim: int) -> DataFrame:
@@ -159,13 +159,13 @@ def _search(index: Index, cosine: float):
         a, b, n = [], [], []
         for k in range(0, len(query), 256):
             q = query[k : k + 256]
-            tables = index.tables(raw[q] / norm[q, None], at)
-            near = np.zeros((len(q), len(member)))
-            for p in range(index.parts):
-                near += tables[:, p, :][:, codes[:, p]]
-            x, y = np.nonzero(near <= limit[None])
+            near = np.zeros((len(member), len(q)))
+            for p, table_ in enumerate(index.tables(raw[q] / norm[q, None], at)):
+                near += table_[codes[:, p]]
+            y, x = np.nonzero(near <= limit[:, None])
             i, j = q[x], member[y]
-            ok = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j]) >= cosine if len(i) < 20_000 else np.concatenate([np.einsum("ij,ij->i", raw[i[s : s + 20_000]], raw[j[s : s + 20_000]]) / (norm[i[s : s + 20_000]] * norm[j[s : s + 20_000]]) for s in range(0, len(i), 20_000)]) >= cosine
+            dots = [np.einsum("ij,ij->i", raw[i[s : s + 20_000]], raw[j[s : s + 20_000]]) for s in range(0, len(i), 20_000)]
+            ok = np.concatenate([np.zeros(0), *dots]) / (norm[i] * norm[j]) >= cosine
             ok &= ids[i] != ids[j]
             x, i, j = x[ok], i[ok], j[ok]
             got = np.bincount(x, m[j], len(q)).astype(np.int64)
@@ -188,7 +188,7 @@ def _search(index: Index, cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, stash: Stash, cosine: float = COSINE, sample: int = 20_000, most_lists: int = 1024, block: int = 1024, slack: float = 0.6) -> DataFrame:
+def near_duplicates(vectors: DataFrame, stash: Stash, cosine: float = COSINE, sample: int = 20_000, most_lists: int = 1024, block: int = 1024, slack: float = 0.4) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     none = lambda: vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dims = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
@@ -204,7 +204,7 @@ def near_duplicates(vectors: DataFrame, stash: Stash, cosine: float = COSINE, sa
         return none()
     n = reps.count()
     x = unit(np.frombuffer(b"".join(bytes(r["e"]) for r in got), "<f8").reshape(len(got), -1))
-    index = Index(x, max(1, min(most_lists, round(math.sqrt(n) / 4), len(got))))
+    index = Index(x, max(1, min(most_lists, round(math.sqrt(n) / 2), len(got))))
     reach = slack * math.sqrt(2 - 2 * cosine)
     rows = stash(reps.select("id", "label", "m", "e").mapInArrow(_expand(index, reach), ROW), "rows")
     sizes = rows.groupBy("label", "list").agg(F.count_if("asks").alias("q"), F.count_if(~F.col("asks")).alias("s")).where("q > 0 and s > 0")
