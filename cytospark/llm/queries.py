@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, mixing, urls
 from .chat import op9
 from .katz import op7
 from .mixing import op10
@@ -28,4 +28,4 @@ QUERIES = {
 }
 
 #: SQL for those operators whose result SQL can express.
-ORACLE: dict[str, str] = {"op9_chat_formatting": chat.ORACLE_SQL, "op10_source_mixing": mixing.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op2_url_filters": urls.ORACLE_SQL, "op9_chat_formatting": chat.ORACLE_SQL, "op10_source_mixing": mixing.ORACLE_SQL}

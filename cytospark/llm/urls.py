@@ -91,3 +91,35 @@ def judge(pages: DataFrame, stash: Stash, rules=RULES, links: DataFrame | None =
 
 def op2(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), Stash(spark))
+
+
+#: The same with strings for nodes and a recursive closure of the links.
+ORACLE_SQL = r"""
+with recursive
+rules(said, rule) as (values """ + ", ".join(f"('{v}', '{r}')" for v, r in RULES) + r"""),
+base as (
+  select row_number() over () as k, page_id, url, html,
+    regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) as link,
+    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) as meta from pages),
+found as (
+  select k, url, unnest([regexp_extract(link, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract(meta, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)]) as x from base),
+whole as (
+  select k, case when contains(x, '://') then x when starts_with(x, '//') then regexp_extract(url, '^([^:/?#]*)://', 1) || ':' || x
+    when starts_with(x, '/') then regexp_extract(url, '^([^:/?#]*://[^/?#]*)', 1) || x end as url from found where x <> ''),
+urls as (select k, false as target, url from base union all select k, true, url from whole),
+parts as (
+  select k, target, url, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) as path from urls),
+nodes as (select *, case when contains(url, '://') then host || chr(10) || regexp_replace(path, '/+$', '') || chr(10) || regexp_extract(url, '^[^?#]*(\?[^#]*)?', 1) end as node from parts),
+edges as (select a.node as x, b.node as y from nodes a join nodes b on a.k = b.k and not a.target and b.target where a.node <> b.node),
+ways as (select x, y from edges union select y, x from edges),
+reach(x, y) as (select x, y from ways union select reach.x, ways.y from reach join ways on ways.x = reach.y),
+own as (
+  select n.k, n.host, n.path, n.node, arg_max(rule, length(rule)) as rule, arg_max(said, length(rule)) as said from nodes n left join rules
+    on (n.host = split_part(rule, '/', 1) or ends_with(n.host, '.' || split_part(rule, '/', 1))) and starts_with(n.path, substr(rule, strpos(rule, '/')))
+  where not n.target group by all),
+near as (select node as x, node as y from own where node is not null union select x, y from reach),
+told as (select near.x as node, bool_or(own.said = 'allow') as allowed from near join own on own.node = near.y where own.said is not null group by near.x)
+select page_id, host, path, rule, coalesce(said, case when not allowed then 'block' else 'allow' end) as verdict
+from own join base using (k) left join told using (node)
+"""

@@ -86,6 +86,10 @@ def test_urls(spark):
     assert [got[i][2:] for i in (3, 4, 5)] == [(None, "block")] * 3, "aliases of a blocked page that redirects to them"
     assert got[6][2:] == ("org/es/", "block") and got[7] == ("", "", None, "allow") and got[8] == ("", "", None, "allow")
     assert got[12][2:] == ("example.net/de/8", "block") and got[11][2:] == (None, "allow"), "an allowed alias goes before a blocked one"
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    assert sorted(map(str, con.execute(urls.ORACLE_SQL).fetchall())) == sorted(str(tuple(r)) for r in urls.judge(df, Stash(spark)).collect())
     assert urls.judge(df.where("false"), Stash(spark)).count() == 0
 
 
@@ -312,13 +316,13 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(none, Stash(spark)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op9_chat_formatting", "op10_source_mixing"])
+@pytest.mark.parametrize("name", ["op2_url_filters", "op9_chat_formatting", "op10_source_mixing"])
 def test_matches_sql(spark, name):
     from cytospark.llm.queries import ORACLE, QUERIES
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got, want = QUERIES[name](spark, sf).toPandas(), con.execute(ORACLE[name]).df()
     cols = sorted(got.columns)
