@@ -14,7 +14,9 @@ Extra columns are not read. A text is tokenised whole, in pieces cut at single s
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import pyarrow as pa
@@ -30,31 +32,63 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
-class Ids(dict):
-    """Little-endian ids of a chunk of text; remembers a bounded number of short chunks."""
+def byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable ones themselves, others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(x for x in range(256) if x not in set(plain))}
 
-    def __init__(self, path: str, most: int = 300_000):
-        super().__init__()
-        from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.most = most
+class Ids:
+    """Little-endian ids of texts, by the tokenizer's model on each part its pattern finds.
 
-    def learn(self, chunks) -> None:
-        new = list({c for c in chunks if c not in self and len(c) <= 64})
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list({c for c in chunks if len(c) <= 64})
-        for c, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[c] = _bytes(e.ids)
+    Words after a space, and parts, are remembered, up to ``most`` of each; what is not remembered is tokenised anew.
+    """
 
-    def __missing__(self, chunk: str) -> bytes:
-        return _bytes(self.tok.encode(chunk, add_special_tokens=False).ids)
+    def __init__(self, path: str, most: int = 600_000):
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path).model
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.letters = byte_letters()
+        self.most = most
+        self.parts: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}
+
+    def part(self, x: str) -> bytes:
+        got = self.parts.get(x)
+        if got is None:
+            got = _bytes([t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.letters))])
+            if len(x) <= 64 and len(self.parts) < self.most:
+                self.parts[x] = got
+        return got
+
+    def chunk(self, x: str) -> bytes:
+        return b"".join(map(self.part, self.pattern.findall(x)))
+
+    def text(self, t: str) -> bytes:
+        words = t.split(" ")
+        got = list(map(self.after.get, words))
+        got[0] = self.chunk(words[0])
+        if None in got or words[0] != words[0].rstrip():
+            for i, g in enumerate(got):
+                if g is None or i == 0:
+                    w = words[i]
+                    if not w or w[-1].isspace() or i and w[0].isspace():
+                        return b"".join(map(self.chunk, CUT.split(t)))
+                    if g is None:
+                        got[i] = g = self.chunk(" " + w)
+                        if len(w) <= 64 and len(self.after) < self.most:
+                            self.after[w] = g
+        return b"".join(got)
 
 
 def _bytes(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    a = array("I", ids)
+    if sys.byteorder != "little":
+        a.byteswap()
+    return a.tobytes()
 
 
 _IDS: dict[str, Ids] = {}
@@ -62,9 +96,6 @@ _IDS: dict[str, Ids] = {}
 
 def _ids(path: str) -> Ids:
     if path not in _IDS:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _IDS[path] = Ids(path)
     return _IDS[path]
 
@@ -72,11 +103,8 @@ def _ids(path: str) -> Ids:
 def encoded(texts: list[str | None], path: str):
     """Little-endian ids of each text and the end id."""
     ids, end = _ids(path), END_ID.to_bytes(4, "little")
-    for k in range(0, len(texts), 128):
-        part = [CUT.split(t) if t else [] for t in texts[k : k + 128]]
-        ids.learn(c for p in part for c in p)
-        for p in part:
-            yield b"".join(map(ids.__getitem__, p)) + end
+    for t in texts:
+        yield ids.text(t) + end if t else end
 
 
 def pieces(docs: DataFrame, path: str, room: int = ROOM) -> DataFrame:
