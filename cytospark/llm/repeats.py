@@ -165,8 +165,11 @@ def marked(docs: DataFrame, stash: Stash) -> DataFrame:
     """row, gone: array<struct<u, n>> (runs of repeated windows) of the documents that have any; docs: row, text."""
     ut = stash(unit_table(docs), "units")
     twice = ut.groupBy("a").agg(F.count("*").alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("k > 1")
-    found = stash(ut.join(twice.select("a", (F.col("c0") < F.col("c1")).alias("mixed")), "a"), "found")
-    stash.drop("units")
+    # aggregates are written before they are joined: a join on its own exchanges is one that Spark can split
+    twice = stash(twice.select("a", (F.col("c0") < F.col("c1")).alias("mixed")), "twice")
+    stash.release()
+    found = stash(ut.join(twice, "a"), "found")
+    stash.drop("units", "twice")
     several = found.where("mixed").groupBy("a", "c").agg(F.count("*").alias("k"), F.min(F.struct("row", "u", "n")).alias("one"))
     several = stash(several, "several")
     joined = found.where("mixed").join(several.select("a", "c", "k"), ["a", "c"])
@@ -176,11 +179,11 @@ def marked(docs: DataFrame, stash: Stash) -> DataFrame:
     of = seen.groupBy("row").agg(F.collect_list("s").alias("segs"))
     looked = stash(docs.join(of, "row").mapInArrow(_windows, "a long, w long, row long, u int, weight int"), "windows")
     stash.drop("found", "several")
-    again = looked.groupBy("a", "w").agg(F.sum("weight").alias("k")).where("k > 1").select("a", "w")
+    again = stash(looked.groupBy("a", "w").agg(F.sum("weight").alias("k")).where("k > 1").select("a", "w"), "again")
     single = looked.where("weight = 1").join(again, ["a", "w"]).select("row", "u", F.lit(1).alias("n"))
     gone = sure.unionAll(single).groupBy("row").agg(F.collect_list(F.struct("u", "n")).alias("gone"))
     gone = stash(gone, "gone")
-    stash.drop("sure", "windows")
+    stash.drop("sure", "windows", "again")
     return gone
 
 
@@ -232,12 +235,14 @@ def cleaned(docs: DataFrame, stash: Stash) -> DataFrame:
             text = [t if not g else _kept(t, [(x["u"], x["u"] + x["n"] + WIDTH - 1) for x in g])[2].decode() for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.record_batch([pa.array(text, pa.string()), *b.columns[2:]], names=["text", *b.schema.names[2:]])
 
-    d = with_row(docs)
-    gone = marked(d.select("row", "text"), stash)
+    # columns go by place, so that those of the documents may have any names
     rest = [c for c in docs.columns if c != "text"]
-    x = d.join(gone.withColumnRenamed("gone", "gone_"), "row", "left").select("text", "gone_", *rest)
-    x = x.mapInArrow(run, docs.select("text", *rest).schema)
-    return x.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else x.select(*docs.columns)
+    d = with_row(docs.select("doc_id", "text", F.struct(*rest).alias("rest"))).select("row", "text", "rest")
+    gone = marked(d.select("row", "text"), stash)
+    x = d.join(gone, "row", "left").select("text", "gone", "rest")
+    x = x.mapInArrow(run, x.select("text", "rest").schema)
+    chars = {"n_chars": F.length("text").cast("long")} if "n_chars" in rest else {}
+    return x.select(*(F.col("text") if c == "text" else chars[c].alias(c) if c in chars else F.col("rest")[c].alias(c) for c in docs.columns))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
