@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .common import Stash
 
 
+EDGES_A_TASK = 100_000
+
+
 def components(edges: DataFrame, stash: Stash, name: str = "cc") -> DataFrame:
     """(id, component) of every id in edges (a, b: long): the smallest id reachable.
 
@@ -22,26 +25,29 @@ def components(edges: DataFrame, stash: Stash, name: str = "cc") -> DataFrame:
     edges = edges.where("a is not null and b is not null and a <> b").select(*pair(F.col("a"), F.col("b"))).distinct()
     edges = stash(edges, f"{name}-e0")
     steps, k = [], 0
-    while not edges.isEmpty():
+    while n := edges.count():
+        # what is left of the edges fits into so many tasks; more would only write empty files
+        tasks = -(-n // EDGES_A_TASK)
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("r"), c.alias("id"))  # noqa: E731, B023
         ends = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = ends.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m"))
         mine = rank(F.col("a"))
         to = low.select(F.col("a").alias("id"), F.when(F.col("m") < mine, F.col("m.id")).otherwise(F.col("a")).alias("to"))
-        steps.append(stash(to, f"{name}-p{k}"))
+        steps.append(stash(to.coalesce(tasks), f"{name}-p{k}"))
         p = steps[-1]
         moved = edges.join(p.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(p.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
         moved = moved.where("x <> y").select(*pair(F.col("x"), F.col("y"))).distinct()
-        edges = stash(moved, f"{name}-e{k + 1}")
+        edges = stash(moved.coalesce(tasks), f"{name}-e{k + 1}")
         stash.drop(f"{name}-e{k}")
         k += 1
     if not steps:
         return spark.createDataFrame([], "id long, component long")
+    first = -(-steps[0].count() // EDGES_A_TASK)
     at = steps[0]
     for j, p in enumerate(steps[1:]):
         at = at.join(p.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left").select("id", F.coalesce("next", "to").alias("to"))
         if j % 4 == 3:
-            at = stash(at, f"{name}-at{j}")
-    at = stash(at, f"{name}-at")
-    least = at.groupBy("to").agg(F.min("id").alias("component"))
-    return stash(at.join(least, "to").select("id", "component"), f"{name}-out")
+            at = stash(at.coalesce(first), f"{name}-at{j}")
+    at = stash(at.coalesce(first), f"{name}-at")
+    least = stash(at.groupBy("to").agg(F.min("id").alias("component")).coalesce(first), f"{name}-least")
+    return stash(at.join(least, "to").select("id", "component").coalesce(first), f"{name}-out")

@@ -7,8 +7,10 @@ five registers find candidates; every candidate is confirmed on the full sets, s
 
 No group's pairs are listed. Sets that are equal are one class. Each class is first verified against one partner, the
 smallest id in the bands they share; links contract into components; buckets whose members are by then in one
-component are finished. The rest are compared in blocks of 128 registers rows, by likelihood given both sizes; pairs of
-different components that may reach the threshold (4.5 standard errors of margin) are verified.
+component are finished. In the rest, members outside a bucket's largest component are compared with all others in blocks
+of 128, by likelihood given both sizes: first each takes its most similar partner in another component, which is
+verified and contracted; then all pairs of different components that may reach the threshold (4.5 standard errors of
+margin) are verified.
 
 Null and empty texts (no words) have no set, size 0, and are linked with nothing; texts of under five words are one
 shingle. Rows with equal doc_id count as one document. A null doc_id is linked with nothing. An empty table gives an
@@ -34,6 +36,8 @@ BANDS, ROWS = 60, 5
 M = BANDS * ROWS
 SPACING = 1.001
 BLOCK = 128
+#: Searches for each open member's most similar partner before all remaining likely pairs are verified.
+SEARCHES = 1
 #: Candidates estimated below this are dropped unverified.
 CUT = NUM / DEN - 4.5 * math.sqrt(NUM / DEN * (1 - NUM / DEN) / M)
 _A = (np.random.default_rng(7).integers(0, 2**31, M, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -99,8 +103,10 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.n
     return (d >= 0) & (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb))
 
 
-def block_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) likely links between different components; rows: key, bi, bj, side, id, c, n, sig, by (key, bi, bj)."""
+def block_pairs(rows: DataFrame, best: bool) -> DataFrame:
+    """(a, b, same) likely links between different components, b of side 0; with best, only each a's most similar one
+    in the group, else each in the first band that the two share. rows: key, i (band), bi, bj, side, id, c, n, sig, by
+    (key, bi, bj). at of open_rows has key, i, id, c."""
     def run(batches):
         held = None
         for b in batches:
@@ -115,39 +121,55 @@ def block_pairs(rows: DataFrame) -> DataFrame:
             yield from found(held, np.array([0, held.num_rows]))
 
     def found(t, at):
-        ids, c, n, side = (t.column(x).to_numpy() for x in ("id", "c", "n", "side"))
-        diag = t.column("bi").to_numpy() == t.column("bj").to_numpy()
+        ids, c, n, side, band = (t.column(x).to_numpy() for x in ("id", "c", "n", "side", "i"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, M)
-        seen, left, right, todo = [], [], [], 0
-
-        def flush():
-            x, y = np.concatenate(left), np.concatenate(right)
-            ok = c[x] != c[y]
-            x, y = x[ok], y[ok]
-            for k in range(0, len(x), 4096):
-                i, j = x[k : k + 4096], y[k : k + 4096]
-                ok = likely(sig[i], sig[j], n[i].astype(float), n[j].astype(float))
-                if ok.any():
-                    seen.append((ids[i[ok]], ids[j[ok]]))
-
+        size = n.astype(float)
         for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if diag[s]:
-                x, y = np.triu_indices(e - s, 1)
-            else:
-                x, y = (z.ravel() for z in np.meshgrid(np.flatnonzero(side[s:e] == 0), np.flatnonzero(side[s:e] == 1), indexing="ij"))
-            left.append(x + s)
-            right.append(y + s)
-            todo += len(x)
-            if todo > 1 << 18:
-                flush()
-                left, right, todo = [], [], 0
-        if left:
-            flush()
-        if seen:
-            x, y = np.concatenate([s[0] for s in seen]), np.concatenate([s[1] for s in seen])
-            yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+            asks, members = s + np.flatnonzero(side[s:e] == 1), s + np.flatnonzero(side[s:e] == 0)
+            a, b, same = [], [], []
+            for i in asks.tolist():
+                j = members[(c[members] != c[i]) & (DEN * np.minimum(n[members], n[i]) >= NUM * np.maximum(n[members], n[i]))]
+                if not len(j):
+                    continue
+                if not best:  # a pair that shares several buckets is looked at in one
+                    shared = (sig[j] == sig[i]).reshape(-1, BANDS, ROWS).all(2)
+                    j = j[shared.argmax(1) == band[i]]
+                    if not len(j):
+                        continue
+                x = np.broadcast_to(sig[i], (len(j), M))
+                ok = likely(x, sig[j], np.full(len(j), size[i]), size[j])
+                j, equal = j[ok], (sig[j[ok]] == sig[i]).sum(1)
+                if best and len(j):
+                    k = int(np.argmax(equal))
+                    j, equal = j[k : k + 1], equal[k : k + 1]
+                a.append(np.full(len(j), ids[i]))
+                b.append(ids[j])
+                same.append(equal)
+            if a and sum(map(len, a)):
+                yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(same).astype(np.int64))], names=["a", "b", "same"])
+
+    return rows.mapInArrow(run, "a long, b long, same long")
+
+
+def open_rows(at: DataFrame, reps: DataFrame, stash: Stash, name: str) -> DataFrame:
+    """Rows for block_pairs of the buckets whose members are in several components; at: key, id, c.
+
+    A bucket's largest component is compared with the others only, not with itself: all members stand once in blocks
+    (side 0), and those outside the largest component ask each block (side 1), in chunks of their own.
+    """
+    by = at.groupBy("key", "c").agg(F.count("*").alias("k"))
+    some = by.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    up = lambda x, n: F.ceil(x / n).cast("int")
+    some = some.select("key", F.col("top.c").alias("major"), up(F.col("size"), BLOCK).alias("nb"), up(F.col("size") - F.col("top.k"), 4 * BLOCK).alias("nm"))
+    # aggregates are written before they are joined: a join on its own exchanges is one that Spark can split
+    some = stash(some, f"{name}-open")
+    rest = at.join(some, "key")
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    there = rest.select("key", "i", "id", "c", own("nb").alias("bi"), each("nm").alias("bj"), F.lit(0).alias("side"))
+    asking = rest.where("c <> major").select("key", "i", "id", "c", each("nb").alias("bi"), own("nm").alias("bj"), F.lit(1).alias("side"))
+    full = there.unionAll(asking).join(reps, "id").select("key", "i", "bi", "bj", "side", "id", "c", "n", "sig")
+    return full.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -167,6 +189,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return x.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def contracted(cc: DataFrame, links: DataFrame, stash: Stash, name: str) -> DataFrame:
+    """(id, component) after more links: only the links between components are followed."""
+    at = lambda c: cc.select(F.col("id").alias(c), F.col("component").alias(f"{c}_"))
+    between = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b"))
+    new = components(between, stash, name).select(F.col("id").alias("component"), F.col("component").alias("next"))
+    old = cc.join(new, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+    alone = new.join(cc.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("next").alias("component"))
+    return stash(old.unionAll(alone), f"{name}-all")
+
+
 def near_duplicates(docs: DataFrame, stash: Stash) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     sk = stash(sketch(docs), "sketch")
@@ -176,8 +208,11 @@ def near_duplicates(docs: DataFrame, stash: Stash) -> DataFrame:
     reps = stash(reps, "reps")
     stash.release()
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    keys = reps.select("id", "sig", band.alias("i")).select(F.xxhash64("i", F.substring("sig", F.col("i") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("key"), "id")
+    keys = reps.select("id", "sig", band.alias("i")).select(F.xxhash64("i", F.substring("sig", F.col("i") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("key"), "id", "i")
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo")
+    # aggregates are written before they are joined: a join on its own exchanges is one that Spark can split
+    shared = stash(shared, "shared")
+    stash.release()
     hits = stash(keys.join(shared, "key"), "hits")
     stash.release()
     docs_ = docs.select(F.col("doc_id").alias("id"), "text")
@@ -187,20 +222,24 @@ def near_duplicates(docs: DataFrame, stash: Stash) -> DataFrame:
     first = star.groupBy("id").agg(F.max(F.struct("n", (-F.col("lo")).alias("lo"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.lo")).alias("b"))
     links = stash(verified(first, texts), "links")
     cc = components(links, stash, "near1")
-    at = hits.select("key", "id").join(cc, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    at = stash(at, "at")
-    open_ = at.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 < c1").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"))
-    rest = at.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("id"), "nb").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    rest = rest.select("key", "id", "c", "own", other.alias("to")).select("key", F.least("own", "to").alias("bi"), F.greatest("own", "to").alias("bj"), (F.col("own") > F.col("to")).cast("int").alias("side"), "id", "c")
-    full = rest.join(reps, "id").select("key", "bi", "bj", "side", "id", "c", "n", "sig")
-    full = full.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    pairs = stash(block_pairs(full).distinct(), "pairs")
-    more = stash(verified(pairs, texts), "more")
-    stash.drop("hits", "at", "reps")
-    cc = components(links.unionAll(more), stash, "near2") if not more.isEmpty() else cc
+    for k in range(SEARCHES + 1):
+        at = hits.select("key", "i", "id").join(cc, "id", "left").select("key", "i", "id", F.coalesce("component", "id").alias("c"))
+        at = stash(at, f"at{k}")
+        pairs = block_pairs(open_rows(at, reps, stash, f"s{k}"), best=k < SEARCHES)
+        if k < SEARCHES:
+            top = pairs.groupBy("a").agg(F.max(F.struct("same", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        else:
+            top = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        top = stash(top, f"pairs{k}")
+        more = stash(verified(top, texts), f"links{k}")
+        stash.drop(f"at{k}")
+        if top.isEmpty():
+            break
+        if not more.isEmpty():
+            cc = contracted(cc, more, stash, f"near-s{k}")
+    stash.drop("hits", "reps")
     out = sk.select("doc_id", "n", "k1", "k2").join(cls, ["k1", "k2", "n"], "left").join(cc.withColumnRenamed("id", "rep"), "rep", "left")
-    top = F.coalesce("component", "rep", "doc_id")
+    top = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), top.alias("component_id"), F.coalesce(F.col("doc_id") == top, F.lit(True)).alias("kept"))
 
 
@@ -209,6 +248,7 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 
 def keep(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group, that of the smallest id."""
-    ids = near_duplicates(docs, Stash(spark)).where("kept").select("doc_id").distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Pipeline stage: one document of each group, that of the smallest id; documents without an id stay."""
+    ids = near_duplicates(docs, Stash(spark)).where("kept and doc_id is not null").select("doc_id").distinct()
+    one = docs.join(ids, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return one.unionAll(docs.where("doc_id is null"))
