@@ -39,11 +39,22 @@ ANSWER = "kind int, batch long, bucket int, a binary, b binary"
 
 
 def _zip(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    """Packed by byte planes: the high bytes of small numbers vanish."""
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def _unzip(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _zip_keys(sorted_: np.ndarray) -> bytes:
+    return _zip(np.diff(sorted_, prepend=_U(0)))
+
+
+def _unzip_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_unzip(b, "<u8"), dtype=_U)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -115,7 +126,7 @@ def _asks(name: int, keys: np.ndarray, counts: np.ndarray, n: int):
     k, c = keys[order], counts[order]
     return pa.record_batch([
         pa.array([name] * len(some), pa.int64()), pa.array(some.astype(np.int32)),
-        pa.array([k[starts[i] : ends[i]].tobytes() for i in some], pa.binary()), pa.array([_zip(c[starts[i] : ends[i]]) for i in some], pa.binary()),
+        pa.array([_zip_keys(k[starts[i] : ends[i]]) for i in some], pa.binary()), pa.array([_zip(c[starts[i] : ends[i]]) for i in some], pa.binary()),
     ], names=["batch", "bucket", "keys", "counts"])
 
 
@@ -141,7 +152,7 @@ def _answers(rows: list[tuple[int, bytes]], keys: np.ndarray, n: int, kind: str,
 def _gather(t: pa.Table, kind: str, width: int = 1):
     """Rows of a bucket in order of batch: distinct keys, summed counts, place of each asked key, and cuts by row."""
     t = t.take(pc.sort_indices(t, [("batch", "ascending")]))
-    keys = [np.frombuffer(x, _U) for x in t.column("keys").to_pylist()]
+    keys = [_unzip_keys(x) for x in t.column("keys").to_pylist()]
     counts = [_unzip(x, kind).reshape(-1, width) for x in t.column("counts").to_pylist()]
     cuts = np.cumsum([len(k) for k in keys])[:-1]
     distinct, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
@@ -175,9 +186,9 @@ class Katz:
         self.docs, self.stash, self.spark = docs.select("doc_id", "text"), stash, docs.sparkSession
         self.cut = batches(docs, batch_bytes)
         self.buckets, self.slices = 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), slices
-        self.words()
-        self.pairs()
-        self.histories()
+        for phase in (self.words, self.pairs, self.histories):
+            phase()
+            stash.release()
 
     def words(self) -> None:
         cut, n = self.cut, self.buckets
@@ -193,7 +204,7 @@ class Katz:
             c = total[:, 0].astype("<i8")
             real = (keys != BEGIN) & (c > 0)
             stats = np.array([c[real].sum(), real.sum()], "<i8")
-            rows = [(0, None, bucket, stats.tobytes(), None), (2, None, bucket, keys.tobytes(), _zip(c))]
+            rows = [(0, None, bucket, stats.tobytes(), None), (2, None, bucket, _zip_keys(keys), _zip(c))]
             return _answer_table(rows + [(1, name, bucket, _zip(v), None) for name, v in zip(names, np.split(c[at], cuts), strict=True)])
 
         asked = self.docs.mapInArrow(ask, ASK)
@@ -201,7 +212,6 @@ class Katz:
         # two numbers a bucket
         stats = [np.frombuffer(bytes(r["a"]), "<i8") for r in self.word_answers.where("kind = 0").select("a").collect()]
         self.n, self.v = (int(sum(s[i] for s in stats)) for i in (0, 1))
-        self.stash.release()
 
     def pairs(self) -> None:
         cut, n, slices = self.cut, self.buckets, self.slices
@@ -225,7 +235,7 @@ class Katz:
             mine[first] = True
             v = (np.minimum(c, 2**31 - 1)[at] * 2 + mine).astype("<u4")
             hist = np.bincount(np.minimum(c, MOST + 2), minlength=MOST + 3).astype("<i8")
-            rows = [(0, None, bucket, hist.tobytes(), None), (2, None, bucket, keys[c > 0].tobytes(), _zip(c[c > 0]))]
+            rows = [(0, None, bucket, hist.tobytes(), None), (2, None, bucket, _zip_keys(keys[c > 0]), _zip(c[c > 0]))]
             return _answer_table(rows + [(1, name, bucket, _zip(x), None) for name, x in zip(names, np.split(v, cuts), strict=True)])
 
         self.pair_answers = []
@@ -299,12 +309,11 @@ class Katz:
         def answer(t: pa.Table) -> pa.Table:
             bucket = t.column("bucket")[0].as_py()
             names, keys, total, _, at, cuts = _gather(t, "<f8", 2)
-            rows = [(2, None, bucket, keys.tobytes(), _zip(total))]
+            rows = [(2, None, bucket, _zip_keys(keys), _zip(total))]
             return _answer_table(rows + [(1, name, bucket, _zip(v), None) for name, v in zip(names, np.split(total[at], cuts), strict=True)])
 
         asked = self.grouped([self.word_answers, *self.pair_answers]).applyInArrow(ask, ASK)
         self.history_answers = self.stash(asked.groupBy("bucket").applyInArrow(answer, ANSWER), "histories")
-        self.stash.release()
 
     def scores(self) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
