@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions.transforms import fluorescence_channels
+from ..operators import bins as B
 from ..operators import compensation as C
 from ..operators import events as E
 from ..operators import exports as X
@@ -62,7 +63,8 @@ def summary(events: DataFrame, config: Config) -> DataFrame:
     by = list(config.by)
     n = F.count(F.lit(1))
     shares = bins.groupBy(*by).agg(n.alias("n_bins"), (F.count_if("tree") / n * 100).alias("tree_percent"), (F.count_if(F.col("tree") | F.col("mad")) / n * 100).alias("mad_percent"))
-    removed = quality_control(events, config).groupBy(*by).agg(n.alias("n_events"), (F.count_if(~F.col("good")) / n * 100).alias("removed_percent"))
+    masked = B.event_mask(events, bins.where("bad"), per_bin, "event_idx", *by)
+    removed = masked.groupBy(*by).agg(n.alias("n_events"), (F.count_if(~F.col("good")) / n * 100).alias("removed_percent"))
     out = shares.join(removed, by) if by else shares.crossJoin(F.broadcast(removed))  # one row
     return out.withColumns({"events_per_bin": F.lit(per_bin), "consecutive_percent": F.col("removed_percent") - F.col("mad_percent")})
 

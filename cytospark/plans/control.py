@@ -60,7 +60,8 @@ def bin_verdicts(df: DataFrame, config: Config) -> tuple[DataFrame, int]:
     per_bin = config.per_bin or B.events_per_bin(largest, config.min_cells, config.max_bins)
     n_bins = sizes.select(*by, F.ceil(F.col("n") / B.bin_step(per_bin)).cast("long").alias("n_bins"))
     peaks = found_peaks(binned_long(df, config.channels, per_bin, *by), n_bins, config, *by).cache()
-    feats = K.features(peaks, n_bins, "channel", *by)
+    # peaks, features and verdicts have a row a bin at most times clusters: kept, as each is used several times
+    feats = K.features(peaks, n_bins, "channel", *by).cache()
     bins = n_bins.select(*by, F.explode(F.sequence(F.lit(0), F.col("n_bins").cast("int") - 1)).alias("bin"))
     none = F.lit(False)
     tree = O.tree_bins(feats, config.tree_limit, config.force_tree, *by) if config.mode in ("all", "tree") else bins.withColumn("bad", none)
@@ -72,7 +73,8 @@ def bin_verdicts(df: DataFrame, config: Config) -> tuple[DataFrame, int]:
     else:
         bins = bins.withColumn("mad", none)
     bins = bins.withColumn("bad", F.col("tree") | F.col("mad"))
-    return (bins if config.mode == "none" else B.remove_short_runs(bins, "bad", "bin", config.consecutive, *by)), per_bin
+    bins = bins if config.mode == "none" else B.remove_short_runs(bins, "bad", "bin", config.consecutive, *by)
+    return bins.cache(), per_bin
 
 
 def quality_control(df: DataFrame, config: Config) -> DataFrame:
