@@ -2,8 +2,8 @@
 
 A page's node is its url without scheme, fragment and trailing slash. Edges are the canonical links and refresh
 redirects in the html, and any rows of a links table (src, dst urls). A page that a rule fits gets that rule's verdict.
-Any other page gets its component's: allow if a rule allows any page in it, else block if a rule blocks one, else
-allow. Everything is DataFrame functions; components are found by distributed rounds over the edges.
+Any other page gets its component's: allow if a rule allows any url in it, else block if a rule blocks one, else
+allow; targets, and urls of the links table, that are no rows of pages count as well (the SQL knows rows only). Everything is DataFrame functions; components are found by distributed rounds over the edges.
 
 Null urls and urls without ``://`` have empty host and path, no node, and are allowed unless a rule fits. Repeated rows
 are judged each for itself. Extra columns are not read. An empty table gives an empty result.
@@ -76,14 +76,21 @@ def targets(html: Column, url: Column) -> Column:
 def judge(pages: DataFrame, stash: Stash, rules=RULES, links: DataFrame | None = None) -> DataFrame:
     host, path = host_path(F.col("url"))
     rule, verdict = fitting(rules, F.col("host"), F.col("path"))
-    p = pages.select("page_id", "url", host.alias("host"), path.alias("path"), F.transform(targets(F.col("html"), F.col("url")), node).alias("to"))
+    p = pages.select("page_id", "url", host.alias("host"), path.alias("path"), targets(F.col("html"), F.col("url")).alias("to"))
     p = stash(p.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"), node(F.col("url")).alias("node"), "to"), "scan")
-    edges = p.select(F.col("node").alias("a"), F.explode("to").alias("b"))
+    aims = p.select(F.col("node").alias("a"), F.explode("to").alias("url"))
+    edges = aims.select("a", node(F.col("url")).alias("b"))
+    named = aims.select("url")
     if links is not None:
         edges = edges.unionAll(links.select(node(F.col("src")).alias("a"), node(F.col("dst")).alias("b")))
-    cc = components(edges, stash, "urls")
-    placed = p.join(cc.withColumnRenamed("id", "node"), "node", "left").withColumn("group", F.coalesce("component", "node"))
-    said = placed.where("said is not null and group is not null").groupBy("group").agg(F.max(F.col("said") == "allow").alias("allowed"))
+        named = named.unionAll(links.select("src")).unionAll(links.select("dst"))
+    cc = components(edges, stash, "urls").withColumnRenamed("id", "node")
+    placed = p.join(cc, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    # urls that edges name are judged as well: most targets of redirects are no rows of pages
+    judged = named.select(node(F.col("url")).alias("node"), *(c.alias(n) for c, n in zip(host_path(F.col("url")), ("host", "path"), strict=True))).select("node", verdict.alias("said"))
+    judged = judged.where("node is not null and said is not null").distinct().join(cc, "node", "left").select(F.coalesce("component", "node").alias("group"), "said")
+    said = placed.where("said is not null and group is not null").select("group", "said").unionAll(judged)
+    said = said.groupBy("group").agg(F.max(F.col("said") == "allow").alias("allowed"))
     out = placed.join(said, "group", "left")
     final = F.coalesce("said", F.when(~F.col("allowed"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", final.alias("verdict"))

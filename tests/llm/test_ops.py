@@ -93,6 +93,19 @@ def test_urls(spark):
     assert urls.judge(df.where("false"), Stash(spark)).count() == 0
 
 
+def test_urls_that_are_no_rows(spark):
+    """Rules that fit a target, or an end of a link, reach the pages of its component."""
+    to = lambda u: f'<link rel="canonical" href="{u}">'
+    rows = [
+        (1, "http://one.test/a", to("http://example.net/de/8")), (2, "http://two.test/a", to("http://q.com/en/3")), (3, "http://q.org/es/1", to("http://hub.test/")), (4, "http://hub.test", to("http://z.net/de/1")),
+        (5, "http://q.com/en", '<meta http-equiv="refresh" content="0; url=http://q.com/en/">'), (6, "http://six.test/a", ""), (7, "http://seven.test/a", ""), (8, "http://eight.test/a", to("http://six.test/b")),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    links = spark.createDataFrame([("http://six.test/a", "http://x.org/es/9"), ("http://y.org/es/2", "http://seven.test/a"), (None, "http://x.com/en/1")], "src string, dst string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(df, Stash(spark), links=links).collect()}
+    assert got == {1: (None, "block"), 2: (None, "block"), 3: ("org/es/", "block"), 4: (None, "allow"), 5: (None, "block"), 6: (None, "block"), 7: (None, "block"), 8: (None, "allow")}
+
+
 def test_sharding(spark, docs, none):
     got = sharding.shard(docs, shards=5, vnodes=8, cells=64).collect()
     sizes = collections.Counter(r["shard"] for r in got)
