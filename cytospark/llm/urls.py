@@ -1,7 +1,8 @@
 """URL filters: longest-match rules, and decisions carried to aliases through redirects and canonical links.
 
 A page's node is its url without scheme, fragment and trailing slash. Edges are the canonical links and refresh
-redirects in the html, and any rows of a links table (src, dst urls). A page that a rule fits gets that rule's verdict.
+redirects in the html (all of them; relative ones are resolved, ``&amp;`` is read as &), and any rows of a links table
+(src, dst urls). A page that a rule fits gets that rule's verdict.
 Any other page gets its component's: allow if a rule allows any url in it, else block if a rule blocks one, else
 allow; targets, and urls of the links table, that are no rows of pages count as well (the SQL knows rows only). Everything is DataFrame functions; components are found by distributed rounds over the edges.
 
@@ -16,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, table
+from .common import Stash, let, table
 from .components import components
 
 #: (verdict, "host/path prefix"): fits the host and all its subdomains.
@@ -59,18 +60,44 @@ def node(url: Column) -> Column:
     return F.when(url.contains("://"), F.xxhash64(host, F.regexp_replace(path, "/+$", ""), query))
 
 
+def undotted(path: Column) -> Column:
+    """The path without its . and .. segments."""
+    parts = F.split(path, "/", -1)
+    step = lambda got, x: F.when(x == ".", got).when(x == "..", F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(0)))).otherwise(F.concat(got, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"), step)
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise(""))).otherwise(path)
+
+
+def resolved(ref: Column, base: Column) -> Column:
+    """The absolute url of a reference found under the url base; null where it names no other page."""
+    part = lambda x, pattern: F.regexp_extract(x, pattern, 1)
+    scheme, site = part(base, r"^([^:/?#]*)://"), part(base, r"^([^:/?#]*://[^/?#]*)")
+    path = part(base, r"^[^:/?#]*://[^/?#]*([^?#]*)")
+    own, rest = part(ref, r"^([^?#]*)"), F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    return (
+        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), ref)
+        .when(ref.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|#|$)") | (site == ""), F.lit(None).cast("string"))
+        .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
+        .when(ref.startswith("/"), F.concat(site, undotted(own), rest))
+        .when(ref.startswith("?"), F.concat(site, path, rest))
+        .otherwise(F.concat(site, undotted(F.concat(folder, own)), rest))
+    )
+
+
 def targets(html: Column, url: Column) -> Column:
-    """Absolute urls that the page declares as its canonical form or redirects to."""
-    link = F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    meta = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    found = F.array(
-        F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-        F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1),
+    """Absolute urls that the page declares as its canonical forms or redirects to, relative ones taken from its base."""
+    tags = lambda p: F.regexp_extract_all(html, F.lit(p), F.lit(0))
+    plain = lambda x: F.regexp_replace(x, r"(?i)&(?:amp|#0*38|#x0*26);", "&")
+    href = lambda x: plain(F.regexp_extract(x, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    found = F.concat(
+        F.transform(tags(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), href),
+        F.transform(tags(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), lambda x: plain(F.regexp_extract(x, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))),
     )
-    scheme, site = F.regexp_extract(url, r"^([^:/?#]*)://", 1), F.regexp_extract(url, r"^([^:/?#]*://[^/?#]*)", 1)
-    whole = lambda x: F.when(x.contains("://"), x).when(x.startswith("//"), F.concat(scheme, F.lit(":"), x)).when(x.startswith("/"), F.concat(site, x))
+    under = F.coalesce(resolved(href(F.regexp_extract(html, r"(?is)<base\b[^>]*\bhref\s*=[^>]*>", 0)), url), url)
+    whole = let(under, lambda base: F.filter(F.transform(found, lambda x: resolved(x, base)), lambda x: x.isNotNull()))
     some = html.rlike(r"(?i)canonical|http-equiv\s*=\s*[\"']?refresh")
-    return F.when(some, F.filter(F.transform(found, whole), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    return F.when(some, whole).otherwise(F.array().cast("array<string>"))
 
 
 def judge(pages: DataFrame, stash: Stash, rules=RULES, links: DataFrame | None = None) -> DataFrame:

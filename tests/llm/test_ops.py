@@ -106,6 +106,24 @@ def test_urls_that_are_no_rows(spark):
     assert got == {1: (None, "block"), 2: (None, "block"), 3: ("org/es/", "block"), 4: (None, "allow"), 5: (None, "block"), 6: (None, "block"), 7: (None, "block"), 8: (None, "allow")}
 
 
+def test_url_targets(spark):
+    """Relative, escaped and later targets; what only looks like a url or names no other page."""
+    link, meta = (lambda u: f'<link rel="canonical" href="{u}">'), (lambda c: f'<meta http-equiv="refresh" content="{c}">')
+    rows = [
+        ("http://h.test/a/b?q=1", link("page.html"), ["http://h.test/a/page.html"]), ("http://h.test/a/b/c", link("../x?u=../y"), ["http://h.test/a/x?u=../y"]), ("http://h.test/a/b?q=1", link("?id=3"), ["http://h.test/a/b?id=3"]),
+        ("http://h.test", link("p"), ["http://h.test/p"]), ("http://h.test/a/", link("/x/./y/../../../z/.."), ["http://h.test/"]), ("http://h.test/a/b", link("c/."), ["http://h.test/a/c/"]),
+        ("http://h.test/a", meta("30") + meta("0; url=/b"), ["http://h.test/b"]), ("http://h.test/a", link("") + link("/c") + link("//g.test/d"), ["http://h.test/c", "http://g.test/d"]),
+        ("http://h.test/a", link("/p?a=1&amp;b=2") + meta("0;URL='http://h.test/p?a=1&#38;b=2'"), ["http://h.test/p?a=1&b=2"] * 2), ("http://h.test/a", link("/go?to=http://example.net/x"), ["http://h.test/go?to=http://example.net/x"]),
+        ("http://h.test/a", link("#top") + link("mailto:a@b.test"), []), ("http://h.test/a/b", '<base href="/z/">' + link("k"), ["http://h.test/z/k"]), ("no scheme", link("k"), []), (None, link("k"), []), ("http://h.test/a", None, []),
+    ]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string")
+    got = dict(map(tuple, df.select("page_id", urls.targets(F.col("html"), F.col("url"))).collect()))
+    assert got == {i: want for i, (_, _, want) in enumerate(rows)}
+    pages = [(1, "http://www.q.com/en/x/", meta("9") + meta("0; url=../../new?a=1&amp;b=2")), (2, "http://www.q.com/new?a=1&b=2", "")]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), Stash(spark)).where("page_id = 2").first()
+    assert got["rule"] is None and got["verdict"] == "block"
+
+
 def test_sharding(spark, docs, none):
     got = sharding.shard(docs, shards=5, vnodes=8, cells=64).collect()
     sizes = collections.Counter(r["shard"] for r in got)
