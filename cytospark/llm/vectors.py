@@ -2,8 +2,8 @@
 
 Codebooks are trained on a bounded sample (``sample`` vectors of least hash of their id); every vector is indexed: its
 nearest centroid's list, the codes of its residual and their error. A query probes its own list and each list whose
-border with it is near enough (``slack`` of the link distance; a neighbour's shift along one direction of many is
-seldom more). In a list, distances are sums of table lookups; a vector passes if its distance less its own coding error
+border with it is within the link distance (``slack`` 1): a vector beyond a border is no nearer than the border, so no
+link is dropped, and a found link counts for both ends. In a list, distances are sums of table lookups; a vector passes if its distance less its own coding error
 allows a link, which drops no link, and is then compared by cosine in double precision.
 
 Equal vectors of one label are one class, searched once. Lists beyond ``block`` members are searched in blocks, pairs of
@@ -89,8 +89,8 @@ class Index:
         """Which lists each query visits: those whose border with its own list is within reach."""
         c = self.centroids
         d = (c * c).sum(1) - 2 * (x @ c.T)
-        gap = np.sqrt(np.maximum(((c[own][:, None] - c[None]) ** 2).sum(2), 1e-300)) if len(x) * len(c) * c.shape[1] < 5e7 else np.sqrt(np.maximum((c * c).sum(1)[own][:, None] + (c * c).sum(1)[None] - 2 * c[own] @ c.T, 1e-300))
-        return (d - d[np.arange(len(x)), own][:, None]) / (2 * gap) <= reach
+        gap = np.sqrt(np.maximum((c * c).sum(1)[own][:, None] + (c * c).sum(1)[None] - 2 * c[own] @ c.T, 0))
+        return d - d[np.arange(len(x)), own][:, None] <= 2 * (gap + 1e-7) * reach + 1e-9
 
     def tables(self, x: np.ndarray, at: int) -> list[np.ndarray]:
         """For each part, squared distances of each code of a list to each query's residual: (codes, queries)."""
@@ -114,41 +114,53 @@ def prepared(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding").mapInArrow(run, "vec_id long, label long, ok boolean, k1 long, k2 long, e binary")
 
 
-ROW = "label long, list int, asks boolean, id long, m long, e binary, codes binary, err double"
+ROW = "label long, bundle int, asks boolean, id long, m long, e binary, list int, codes binary, err double"
 
 
-def _expand(index: Index, reach: float):
-    """Each class as a row of its own list, and as a query row of each list it probes."""
+def _expand(index: Index, reach: float, bundles: int):
+    """Each class as a row of its own bundle of lists, and as a query row of its own and of other bundles it probes.
+
+    Of two bundles one asks the other: the lower, if their numbers add up to an even one, else the higher.
+    """
     def run(batches):
-        for b in batches:
+        for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             ids, label, m, raw = (b.column(i) for i in range(4))
-            if not len(ids):
-                continue
             x = unit(np.frombuffer(b"".join(raw.to_pylist()), "<f8").reshape(len(ids), -1))
             own, codes, err = index.encode(x)
+            hit = np.zeros((len(x), bundles), bool)
             q, at = np.nonzero(index.probes(x, own, reach))
+            hit[q, at % bundles] = True
+            mine, other = (own % bundles)[:, None], np.arange(bundles)[None]
+            hit &= (mine == other) | ((mine < other) == ((mine + other) % 2 == 0))
+            q, at = np.nonzero(hit)
             take = pa.array(np.concatenate([np.arange(len(ids)), q]))
             asks = np.concatenate([np.zeros(len(ids), bool), np.ones(len(q), bool)])
             yield pa.record_batch([
-                label.take(take), pa.array(np.concatenate([own, at]).astype(np.int32)), pa.array(asks), ids.take(take), m.take(take), raw.take(take),
-                pa.array([c.tobytes() for c in codes], pa.binary()).take(take), pa.array(err).take(take),
-            ], names=["label", "list", "asks", "id", "m", "e", "codes", "err"])
+                label.take(take), pa.array(np.concatenate([own % bundles, at]).astype(np.int32)), pa.array(asks), ids.take(take), m.take(take), raw.take(take),
+                pa.array(own.astype(np.int32)).take(take), pa.array([c.tobytes() for c in codes], pa.binary()).take(take), pa.array(err).take(take),
+            ], names=["label", "bundle", "asks", "id", "m", "e", "list", "codes", "err"])
 
     return run
 
 
-def _search(index: Index, cosine: float):
-    """One group: the members of a block of a list against a block of its queries."""
+def _search(index: Index, cosine: float, reach: float, bundles: int):
+    """One group: the members of a block of a bundle, list by list, against a block of its queries.
+
+    A pair of different bundles is met here only, and counts for both ends; one of the same bundle is met once from
+    either end.
+    """
     link = math.sqrt(2 - 2 * cosine) + 1e-9
 
     def run(t: pa.Table) -> pa.Table:
-        asks = t.column("asks").to_numpy()
-        ids, m, err, at = t.column("id").to_numpy(), t.column("m").to_numpy(), t.column("err").to_numpy(), t.column("list")[0].as_py()
+        asks, at = t.column("asks").to_numpy(), t.column("bundle")[0].as_py()
+        ids, m, err, own = (t.column(c).to_numpy() for c in ("id", "m", "err", "list"))
         raw = np.frombuffer(b"".join(t.column("e").to_pylist()), "<f8").reshape(len(ids), -1)
         norm = np.sqrt((raw * raw).sum(1))
-        member, query = np.flatnonzero(~asks), np.flatnonzero(asks)
-        codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[member]
-        limit = (link + err[member] + 1e-9) ** 2
+        codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+        limit = (link + err + 1e-9) ** 2
+        members = {v: np.flatnonzero(~asks & (own == v)) for v in np.unique(own[~asks]).tolist()}
+        query = np.flatnonzero(asks)
+        total = np.zeros(len(ids), np.int64)
         parent = {}
 
         def root(v):
@@ -156,39 +168,37 @@ def _search(index: Index, cosine: float):
                 parent[v] = v = parent[parent[v]]
             return v
 
-        a, b, n = [], [], []
         for k in range(0, len(query), 256):
-            q = query[k : k + 256]
-            near = np.zeros((len(member), len(q)))
-            for p, table_ in enumerate(index.tables(raw[q] / norm[q, None], at)):
-                near += table_[codes[:, p]]
-            y, x = np.nonzero(near <= limit[:, None])
-            i, j = q[x], member[y]
-            dots = [np.einsum("ij,ij->i", raw[i[s : s + 20_000]], raw[j[s : s + 20_000]]) for s in range(0, len(i), 20_000)]
-            ok = np.concatenate([np.zeros(0), *dots]) / (norm[i] * norm[j]) >= cosine
-            ok &= ids[i] != ids[j]
-            x, i, j = x[ok], i[ok], j[ok]
-            got = np.bincount(x, m[j], len(q)).astype(np.int64)
-            for v, c in zip(ids[q].tolist(), got.tolist(), strict=True):
-                if c:
-                    a.append(v)
-                    b.append(None)
-                    n.append(c)
-            for v, w in zip(ids[i].tolist(), ids[j].tolist(), strict=True):
-                v, w = root(v), root(w)
-                if v != w:
-                    parent[max(v, w)] = min(v, w)
-        for v in list(parent):
-            if (r := root(v)) != v:
-                a.append(v)
-                b.append(r)
-                n.append(0)
+            visits = index.probes(raw[query[k : k + 256]] / norm[query[k : k + 256], None], own[query[k : k + 256]], reach)
+            for v, member in members.items():
+                q = query[k : k + 256][visits[:, v]]
+                if not len(q):
+                    continue
+                near = np.zeros((len(member), len(q)))
+                for p, table_ in enumerate(index.tables(raw[q] / norm[q, None], v)):
+                    near += table_[codes[member, p]]
+                y, x = np.nonzero(near <= limit[member, None])
+                i, j = q[x], member[y]
+                dots = [np.einsum("ij,ij->i", raw[i[s : s + 20_000]], raw[j[s : s + 20_000]]) for s in range(0, len(i), 20_000)]
+                ok = np.concatenate([np.zeros(0), *dots]) / (norm[i] * norm[j]) >= cosine
+                ok &= ids[i] != ids[j]
+                i, j = i[ok], j[ok]
+                np.add.at(total, i, m[j])
+                other = own[i] % bundles != at
+                np.add.at(total, j[other], m[i[other]])
+                for a, b in zip(ids[i].tolist(), ids[j].tolist(), strict=True):
+                    a, b = root(a), root(b)
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+        some = np.flatnonzero(total)
+        up = [(v, r) for v in list(parent) if (r := root(v)) != v]
+        a, b, n = ids[some].tolist() + [v for v, _ in up], [None] * len(some) + [r for _, r in up], total[some].tolist() + [0] * len(up)
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, stash: Stash, cosine: float = COSINE, sample: int = 20_000, most_lists: int = 1024, block: int = 1024, slack: float = 0.4) -> DataFrame:
+def near_duplicates(vectors: DataFrame, stash: Stash, cosine: float = COSINE, sample: int = 20_000, most_lists: int = 1024, block: int = 1024, slack: float = 1.0) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     none = lambda: vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dims = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
@@ -206,14 +216,16 @@ def near_duplicates(vectors: DataFrame, stash: Stash, cosine: float = COSINE, sa
     x = unit(np.frombuffer(b"".join(bytes(r["e"]) for r in got), "<f8").reshape(len(got), -1))
     index = Index(x, max(1, min(most_lists, round(math.sqrt(n) / 2), len(got))))
     reach = slack * math.sqrt(2 - 2 * cosine)
-    rows = stash(reps.select("id", "label", "m", "e").mapInArrow(_expand(index, reach), ROW), "rows")
-    sizes = rows.groupBy("label", "list").agg(F.count_if("asks").alias("q"), F.count_if(~F.col("asks")).alias("s")).where("q > 0 and s > 0")
-    sizes = sizes.select("label", "list", F.ceil(F.col("s") / block).cast("int").alias("sb"), F.ceil(F.col("q") / block).cast("int").alias("qb"))
+    # lists of few members are searched in bundles of about a block, so that a query is not copied for each list
+    bundles = max(1, min(len(index.centroids), -(-n // (block * reps.select("label").distinct().count()))))
+    rows = stash(reps.select("id", "label", "m", "e").mapInArrow(_expand(index, reach, bundles), ROW), "rows")
+    sizes = rows.groupBy("label", "bundle").agg(F.count_if("asks").alias("q"), F.count_if(~F.col("asks")).alias("s")).where("q > 0 and s > 0")
+    sizes = sizes.select("label", "bundle", F.ceil(F.col("s") / block).cast("int").alias("sb"), F.ceil(F.col("q") / block).cast("int").alias("qb"))
     own = F.pmod(F.xxhash64("id"), F.when(F.col("asks"), F.col("qb")).otherwise(F.col("sb"))).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("sb")).otherwise(F.col("qb")) - 1))
-    dealt = rows.join(sizes, ["label", "list"]).select(*rows.columns, own.alias("own"), others.alias("other"))
+    dealt = rows.join(sizes, ["label", "bundle"]).select(*rows.columns, own.alias("own"), others.alias("other"))
     dealt = dealt.select(*rows.columns, F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("si"), F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("qi"))
-    found = stash(dealt.groupBy("label", "list", "si", "qi").applyInArrow(_search(index, cosine), "a long, b long, n long"), "found")
+    found = stash(dealt.groupBy("label", "bundle", "si", "qi").applyInArrow(_search(index, cosine, reach, bundles), "a long, b long, n long"), "found")
     stash.drop("rows")
     cc = components(found.where("b is not null").select("a", "b"), stash, "vec")
     links = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("other_links"))

@@ -191,6 +191,23 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.where("vec_id >= 410"), Stash(spark)).count() == 7
 
 
+def test_vectors_of_low_rank(spark):
+    """Many vectors close to borders of lists: all links are found, and count for both ends."""
+    rng = np.random.default_rng(4)
+    base = np.repeat(rng.normal(size=(500, 6)), 4, 0)
+    x = ((base + rng.normal(size=base.shape) * 0.12) @ rng.normal(size=(6, 64))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), i % 8 // 4) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    label = np.arange(len(x)) % 8 // 4
+    near = (x @ x.T / np.sqrt(np.outer((x * x).sum(1), (x * x).sum(1))) >= vectors.COSINE) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    g = data.Groups()
+    for i, j in zip(*np.nonzero(near), strict=True):
+        g.join(int(i), int(j))
+    for block in (1024, 64):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df, Stash(spark), block=block).collect()}
+        assert got == {i: (n, g.find(i)) for i, n in enumerate(near.sum(1).tolist())}
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(0, 60, 2)] + [(None, 1, 0), (3, None, 0), (4, 0, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.judge(docs, labels, Stash(spark)).collect()
