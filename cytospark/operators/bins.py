@@ -14,7 +14,14 @@ def events_per_bin(n: int, min_cells: int = 150, max_bins: int = 500, step: int
     return max(min_cells, (math.ceil(2 * n / max_bins) // step) * step + step)
 
 
-def bin_step(per_bin: int) -> int:
+def bin_sizes(n: Column, min_cells: int = 150, max_bins: int = 500, step: int = 500) -> Column:
+    """events_per_bin of a column of event counts."""
+    return F.greatest(F.lit(min_cells), F.floor(F.ceil(2 * n / max_bins) / step) * step + step).cast("long")
+
+
+def bin_step(per_bin: int | Column) -> int | Column:
+    if isinstance(per_bin, Column):
+        return per_bin - F.floor((per_bin + 1) / 2)
     if per_bin <= 1:
         raise QcError("bins need two events")
     return per_bin - (per_bin + 1) // 2
@@ -29,14 +36,14 @@ def breaks(n: int, per_bin: int) -> list[tuple[int, int]]:
     return [(s, min(s + per_bin, n)) for s in range(0, n, step)]
 
 
-def covering(index: Column, per_bin: int) -> Column:
+def covering(index: Column, per_bin: int | Column) -> Column:
     """The array of overlapping bins that cover an event: arithmetic instead of a range join."""
     step = bin_step(per_bin)
     first = F.greatest(F.lit(0), F.ceil((index - per_bin + 1) / step)).cast("int")
     return F.sequence(first, F.floor(index / step).cast("int"))
 
 
-def assign(df: DataFrame, per_bin: int, index: str = "event_idx") -> DataFrame:
+def assign(df: DataFrame, per_bin: int | Column, index: str = "event_idx") -> DataFrame:
     return df.withColumn("bin", F.explode(covering(F.col(index), per_bin)))
 
 
@@ -68,8 +75,10 @@ def remove_short_runs(bins: DataFrame, flag: str = "bad", order: str = "bin", le
     return runs.withColumn("short_", short).withColumn(flag, F.col(flag) | F.col("short_")).drop("short_", "run_")
 
 
-def event_mask(events: DataFrame, bad_bins: DataFrame, per_bin: int, index: str = "event_idx", *by: str) -> DataFrame:
-    """good is false for events that any bad bin covers: bins overlap by half, so an event has two or three to look up."""
+def event_mask(events: DataFrame, bad_bins: DataFrame, per_bin: int | Column, index: str = "event_idx", *by: str) -> DataFrame:
+    """good is false for events that any bad bin covers: bins overlap by half, so an event has two or three to look up.
+
+    A column per_bin is one of events."""
     look = events.select(*by, index, F.explode(covering(F.col(index), per_bin)).alias("bin"))
     hit = look.join(bad_bins.select(*by, "bin"), [*by, "bin"], "left_semi").select(*by, index).distinct()
     marked = events.join(hit.withColumn("bad_", F.lit(True)), [*by, index], "left")

@@ -14,7 +14,7 @@ from ..operators import compensation as C
 from ..operators import events as E
 from ..operators import exports as X
 from ..operators import outliers as O
-from .control import Config, bin_verdicts, quality_control
+from .control import Config, bin_verdicts, quality_control, sized
 
 
 @dataclass(frozen=True)
@@ -59,14 +59,17 @@ def clean(events: DataFrame, job: Job) -> DataFrame:
 def summary(events: DataFrame, config: Config) -> DataFrame:
     """One row a file: bins, share of tree bins, of tree or MAD bins, of events removed, and the difference of the last
     two (what the run filter and overlaps add; it may be negative)."""
-    bins, per_bin = bin_verdicts(events, config)
+    bins, sizes = bin_verdicts(events, config)
+    events, per_bin = sized(events, sizes, config)
     by = list(config.by)
     n = F.count(F.lit(1))
     shares = bins.groupBy(*by).agg(n.alias("n_bins"), (F.count_if("tree") / n * 100).alias("tree_percent"), (F.count_if(F.col("tree") | F.col("mad")) / n * 100).alias("mad_percent"))
     masked = B.event_mask(events, bins.where("bad"), per_bin, "event_idx", *by)
     removed = masked.groupBy(*by).agg(n.alias("n_events"), (F.count_if(~F.col("good")) / n * 100).alias("removed_percent"))
     out = shares.join(removed, by) if by else shares.crossJoin(F.broadcast(removed))  # one row
-    return out.withColumns({"events_per_bin": F.lit(per_bin), "consecutive_percent": F.col("removed_percent") - F.col("mad_percent")})
+    sizes = sizes.select(*by, F.col("per_bin_").alias("events_per_bin"))
+    out = out.join(sizes, by) if by else out.crossJoin(F.broadcast(sizes))  # one row
+    return out.withColumns({"events_per_bin": F.col("events_per_bin").cast("int"), "consecutive_percent": F.col("removed_percent") - F.col("mad_percent")})
 
 
 def mad_contribution(bad: DataFrame, *by: str) -> DataFrame:

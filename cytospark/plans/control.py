@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QcError
@@ -33,10 +33,11 @@ class Config:
     by: tuple[str, ...] = field(default_factory=tuple)
 
 
-def binned_long(df: DataFrame, channels, per_bin: int, *by: str) -> DataFrame:
+def binned_long(df: DataFrame, channels, per_bin: int | Column, *by: str) -> DataFrame:
     """by, bin, channel, value: all channels in one table, so that one job finds all peaks."""
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(f"`{c}`").cast("double").alias("value")) for c in channels)))
-    x = B.assign(df.select(*by, "event_idx", *(f"`{c}`" for c in channels)), per_bin)
+    bins = B.covering(F.col("event_idx"), per_bin)
+    x = df.select(*by, *(f"`{c}`" for c in channels), F.explode(bins).alias("bin"))
     return x.select(*by, "bin", pairs.alias("p")).select(*by, "bin", "p.*")
 
 
@@ -48,17 +49,29 @@ def found_peaks(long: DataFrame, n_bins: DataFrame, config: Config, *by: str) ->
     return K.drop_small_clusters(p, n, 0.5, *by, "channel")
 
 
-def bin_verdicts(df: DataFrame, config: Config) -> tuple[DataFrame, int]:
-    """(by, bin, tree, mad, bad) of every bin, and the events a bin. Files share a bin size, that of the largest."""
+def sized(df: DataFrame, sizes: DataFrame, config: Config) -> tuple[DataFrame, int | Column]:
+    """df and the events a bin: the given number, or a column per_bin_, of sizes, of each file's own."""
+    if config.per_bin:
+        return df, config.per_bin
+    sizes = sizes.select(*config.by, "per_bin_")
+    df = df.join(sizes, list(config.by)) if config.by else df.crossJoin(F.broadcast(sizes))  # one row
+    return df, F.col("per_bin_")
+
+
+def bin_verdicts(df: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(by, bin, tree, mad, bad) of every bin, and (by, n, per_bin_) of every file: its events, and those a bin."""
     if not config.channels:
         raise QcError("no channels")
     by = list(config.by)
     sizes = df.groupBy(*by).agg((F.max("event_idx") + 1).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0]
-    if not largest:
+    if not sizes.agg(F.max("n")).first()[0]:
         raise QcError("no events")
-    per_bin = config.per_bin or B.events_per_bin(largest, config.min_cells, config.max_bins)
-    n_bins = sizes.select(*by, F.ceil(F.col("n") / B.bin_step(per_bin)).cast("long").alias("n_bins"))
+    if config.per_bin:
+        B.bin_step(config.per_bin)
+    per_bin = F.lit(config.per_bin).cast("long") if config.per_bin else B.bin_sizes(F.col("n"), config.min_cells, config.max_bins)
+    sizes = sizes.withColumn("per_bin_", per_bin)
+    n_bins = sizes.select(*by, F.ceil(F.col("n") / B.bin_step(F.col("per_bin_"))).cast("long").alias("n_bins"))
+    df, per_bin = sized(df, sizes, config)
     peaks = found_peaks(binned_long(df, config.channels, per_bin, *by), n_bins, config, *by).cache()
     # peaks, features and verdicts have a row a bin at most times clusters: kept, as each is used several times
     feats = K.features(peaks, n_bins, "channel", *by).cache()
@@ -74,13 +87,14 @@ def bin_verdicts(df: DataFrame, config: Config) -> tuple[DataFrame, int]:
         bins = bins.withColumn("mad", none)
     bins = bins.withColumn("bad", F.col("tree") | F.col("mad"))
     bins = bins if config.mode == "none" else B.remove_short_runs(bins, "bad", "bin", config.consecutive, *by)
-    return bins.cache(), per_bin
+    return bins.cache(), sizes
 
 
 def quality_control(df: DataFrame, config: Config) -> DataFrame:
     """df with good: events that no bad bin covers. df needs event_idx, dense from 0 within each file (config.by)."""
-    bins, per_bin = bin_verdicts(df, config)
-    return B.event_mask(df, bins.where("bad"), per_bin, "event_idx", *config.by)
+    bins, sizes = bin_verdicts(df, config)
+    df, per_bin = sized(df, sizes, config)
+    return B.event_mask(df, bins.where("bad"), per_bin, "event_idx", *config.by).drop("per_bin_")
 
 
 # --- queries ----------------------------------------------------------------------------------------------------------

@@ -7,7 +7,9 @@ import pytest
 
 from cytospark.errors import GateError
 from cytospark.operators import gates as G
-from cytospark.plans.batch import Job, clean, grid
+from cytospark.operators.bins import bin_count, events_per_bin
+from cytospark.plans.batch import Job, clean, grid, summary
+from cytospark.plans.control import Config
 
 
 def test_gates_as_json():
@@ -44,5 +46,15 @@ def test_many_files(spark):
     assert good["one"] > 0.95 and not middle["good"].any()
 
 
+def test_bins_of_each_file(spark):
+    """A file's bins do not depend on the files beside it."""
+    files = {"small": 2000, "large": 5000}
+    rows = [(f, i, 500 + 50 * ((i * 0.6180339887) % 1 + (i * 0.7548776662) % 1) + 4000 * (f == "small" and 1000 <= i < 1300)) for f, n in files.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "file_id string, event_idx long, `FL1-A` double").coalesce(2).cache()
+    config = Config(("FL1-A",), mode="mad", max_bins=10, by=("file_id",))
+    sizes = {r["file_id"]: (r["n_bins"], r["events_per_bin"]) for r in summary(df, config).collect()}
+    assert sizes == {f: (bin_count(n, events_per_bin(n, 150, 10)), events_per_bin(n, 150, 10)) for f, n in files.items()}
+
+
 def test_grid():
     assert [grid(n) for n in (1, 2, 3, 5, 7, 10)] == [(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (3, 4)]
