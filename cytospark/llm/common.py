@@ -34,8 +34,8 @@ class Stash:
     """Tables written to the shared folder to cut lineage: a lost executor costs a re-read, not a recomputation.
 
     Tables a result still reads lazily stay (the caller of a query consumes it after it returns); ``drop`` removes
-    those no longer needed and releases the shuffle files of finished jobs, so that disk use is the largest phase, not
-    the sum of all phases.
+    those no longer needed, and ``release`` at the end of a phase the shuffle files of its jobs, so that disk use is the
+    largest phase, not the sum of all phases.
     """
 
     def __init__(self, spark: SparkSession):
@@ -53,7 +53,6 @@ class Stash:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
-        self.release()
 
     def release(self) -> None:
         """Let Spark's cleaner delete shuffle files of plans nothing refers to any more."""

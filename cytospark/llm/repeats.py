@@ -170,6 +170,7 @@ def marked(docs: DataFrame, stash: Stash) -> DataFrame:
     stash.release()
     found = stash(ut.join(twice, "a"), "found")
     stash.drop("units", "twice")
+    stash.release()
     several = found.where("mixed").groupBy("a", "c").agg(F.count("*").alias("k"), F.min(F.struct("row", "u", "n")).alias("one"))
     several = stash(several, "several")
     joined = found.where("mixed").join(several.select("a", "c", "k"), ["a", "c"])
@@ -179,11 +180,13 @@ def marked(docs: DataFrame, stash: Stash) -> DataFrame:
     of = seen.groupBy("row").agg(F.collect_list("s").alias("segs"))
     looked = stash(docs.join(of, "row").mapInArrow(_windows, "a long, w long, row long, u int, weight int"), "windows")
     stash.drop("found", "several")
+    stash.release()
     again = stash(looked.groupBy("a", "w").agg(F.sum("weight").alias("k")).where("k > 1").select("a", "w"), "again")
     single = looked.where("weight = 1").join(again, ["a", "w"]).select("row", "u", F.lit(1).alias("n"))
     gone = sure.unionAll(single).groupBy("row").agg(F.collect_list(F.struct("u", "n")).alias("gone"))
     gone = stash(gone, "gone")
     stash.drop("sure", "windows", "again")
+    stash.release()
     return gone
 
 

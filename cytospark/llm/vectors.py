@@ -227,6 +227,7 @@ def near_duplicates(vectors: DataFrame, stash: Stash, cosine: float = COSINE, sa
     dealt = dealt.select(*rows.columns, F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("si"), F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("qi"))
     found = stash(dealt.groupBy("label", "bundle", "si", "qi").applyInArrow(_search(index, cosine, reach, bundles), "a long, b long, n long"), "found")
     stash.drop("rows")
+    stash.release()
     cc = components(found.where("b is not null").select("a", "b"), stash, "vec")
     links = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("other_links"))
     full = cls.join(links, "id", "left").join(cc, "id", "left").select(F.col("label").alias("l_"), F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), "id", "m", "other_links", "component")

@@ -64,13 +64,38 @@ def test_large_group_of_near_copies(spark):
     rng = np.random.default_rng(5)
     base = [f"b{i}" for i in range(60)]
     rows = []
-    for i in range(300):
+    for i in range(3000):
         w = list(base)
         for j in rng.choice(60, 1 + i % 3, replace=False):
             w[j] = f"e{i}x{j}"
         rows.append((i, " ".join(w), "s"))
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(data.frame(spark, rows, False), Stash(spark)).collect()}
-    assert got == {d: c for d, (_, c) in data.near_groups(rows).items()}
+    sets = [data.shingles(t) for _, t, _ in rows]
+    at = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    x = np.zeros((len(rows), len(at)), np.float32)
+    for k, s in enumerate(sets):
+        x[k, [at[g] for g in s]] = 1
+    both, n = x @ x.T, x.sum(1)
+    near = 100 * both >= 75 * (n[:, None] + n[None] - both)
+    want = data.Groups()
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        want.join(int(i), int(j))
+    assert got == {i: want.find(i) for i in range(len(rows))}
+
+
+def test_near_duplicates_of_awkward_rows(spark):
+    """Null ids, one id with several texts, repeated rows, no words, ties, texts of 20,000 words, in any order."""
+    rng = np.random.default_rng(6)
+    a, b, long = ([f"{k}{x}" for x in rng.integers(0, 10**6, n)] for k, n in (("a", 80), ("b", 80), ("c", 20_000)))
+    rows = [(1, a), (1, b), (5, [*b, "more"]), (5, [*b, "more"]), (None, a), (None, None), (7, []), (7, []), (8, long), (9, ["new", *long[1:]]), (3, a), (3, long[:300]), (2, long[:299])]
+    rows = [(d, None if w is None else " ".join(w), "s") for d, w in rows]
+    df = data.frame(spark, rows).selectExpr("*", "1 as t", "3 as alone")
+    got = collections.Counter(tuple(r) for r in neardup.near_duplicates(df, Stash(spark)).collect())
+    want = [(1, 76, 1, True), (1, 76, 1, True), *[(5, 77, 1, False)] * 2, (None, 76, None, True), (None, 0, None, True), *[(7, 0, 7, True)] * 2, (8, 19996, 8, True), (9, 19996, 8, False), (3, 76, 1, False), (3, 296, 2, False), (2, 295, 2, True)]
+    assert got == collections.Counter(want)
+    kept = neardup.keep(spark, df, "")
+    assert kept.columns == df.columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter([(rows[k][0], rows[k][1]) for k in (0, 1, 4, 5, 6, 7, 8, 12)])
 
 
 def test_urls(spark):
