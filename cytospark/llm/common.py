@@ -55,10 +55,14 @@ class Stash:
             path.getFileSystem(conf).delete(path, True)
 
     def release(self) -> None:
-        """Let Spark's cleaner delete shuffle files of plans nothing refers to any more."""
+        """Let Spark's cleaner delete shuffle files of plans nothing refers to any more.
+
+        Twice, as plans reached from objects with finalisers outlive the first collection.
+        """
         gc.collect()
-        self.spark._jvm.System.gc()
-        time.sleep(0.2)
+        for _ in range(2):
+            self.spark._jvm.System.gc()
+            time.sleep(0.1)
 
 
 def words(text: Column) -> Column:

@@ -1,28 +1,36 @@
-"""Katz backoff language model (bigrams over unigrams): counted, stored in partitioned tables, evaluated token by token.
-
-Training documents give counts of words and of (history, word) pairs. P(w | h) is the Good-Turing discounted share of
-c(h, w) where that is positive, else alpha(h) P(w); alpha(h) makes the sum over all words, the unknown one included,
-exactly one. The recursion ends at the add-half unigram. A history whose pairs keep all their mass (all counts beyond
-the discounted ones) is treated as seen once more, and that share is its backoff mass.
-
-Documents are taken in batches of about ``batch_bytes``. A batch asks each partition of a table for its distinct keys
-once, with its own training counts; the partition adds the counts of all batches (that is the table's content), and
-answers in the order asked. So what is shuffled is distinct keys a batch, packed, and no word is hot. Three rounds:
-words; pairs, where one batch is told to own each pair; per history, the discounted counts and word masses of owned
-pairs, from which alpha follows. Every round reads all documents; answers and tables are written to the shared folder.
-
-Null texts count as empty: one end token. A null doc_id counts as the empty text in the split. Repeated rows are
-counted and scored each for itself. An empty table gives an empty result. Extra columns are not read.
+"""Katz backoff language model over add-half unigrams: counted, stored in partitioned tables, evaluated level by level.
+
+Training documents give counts of words and, for each level k up to ``order`` (two by default), of (context of k - 1
+words, word). P_k(w | h) is the Good-Turing discounted share of c(h, w) where that is positive, else alpha(h) times
+P_{k-1}(w | h without its first word); alpha(h) makes the sum over all words, the unknown one included, exactly one. The
+recursion ends at the add-half unigram. A context whose continuations keep all their mass (all counts beyond the
+discounted ones) is treated as seen once more, and that share is its backoff mass. Documents begin after as many begin
+marks as a context has words.
+
+Documents are tokenised once, into written batches of about ``batch_bytes`` of text (distinct words and places in them).
+A batch asks each partition of a table for its distinct keys once, with its own training counts; the partition adds the
+counts of all batches (that is the table's content), and answers in the order asked. So what is shuffled is distinct
+keys a batch, packed, and no word is hot. Partitions are ranges of the keys' hashes, as many as there are batches, so a
+task's share does not grow with the corpus. Rounds: words; then for each level the continuations, where one batch is told
+to own each, and the contexts: the batches send the discounted counts and lower-level masses of what they own, from
+which the partition makes alpha. Answers and tables (``words``, ``grams-k``, ``contexts-k``) are written to the shared
+folder.
+
+Null texts count as empty: one end token. A null doc_id counts as the empty text in the split. Repeated rows, and rows
+of one id with other texts, are counted and scored each for itself. Long texts are handled whole: a text beyond the batch
+size is a batch of its own. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +42,24 @@ FOLDS, HELD = 5, 1
 MOST = 5
 _U = np.uint64
 BEGIN, END = _U(0x1D8E4E27C47D124F), _U(0xEB44ACCAB455D165)
+BATCHED = "batch long, ids binary, sizes binary, words binary, places binary"
 ASK = "batch long, bucket int, keys binary, counts binary"
 ANSWER = "kind int, batch long, bucket int, a binary, b binary"
+#: What an answer table's rows are: statistics, answers to batches, the model's table.
+STATS, REPLY, TABLE = 0, 1, 2
 
 
 def _zip(x: np.ndarray) -> bytes:
-    """Packed by byte planes: the high bytes of small numbers vanish."""
-    x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    """Packed by columns and byte planes: the high bytes of small numbers vanish."""
+    x = np.ascontiguousarray(x.T)
+    return zstandard.ZstdCompressor(level=1).compress(x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
-def _unzip(b: bytes, kind: str) -> np.ndarray:
+def _unzip(b: bytes, kind: str, width: int = 1) -> np.ndarray:
+    """(rows, width), or (rows,) of one column."""
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    flat = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return flat if width == 1 else flat.reshape(width, -1).T
 
 
 def _zip_keys(sorted_: np.ndarray) -> bytes:
@@ -62,107 +75,110 @@ def held_out(doc_id: int | None) -> bool:
 
 
 class Batch:
-    """Tokens of some documents: history and word keys, and each document's first token."""
+    """Tokens of some documents: their distinct words (sorted hashes), each token's place in them, documents' firsts."""
 
-    def __init__(self, ids: pa.Array, texts: pa.Array):
-        self.ids = ids
+    def __init__(self, ids: pa.Array, size: np.ndarray, words: np.ndarray, at: np.ndarray):
+        self.ids, self.size, self.words, self.at = ids, size, words, at
+        self.first = np.cumsum(size) - size
         self.held = np.array([held_out(i) for i in ids.to_pylist()], bool)
+        self.train = np.repeat(~self.held, size)
+
+    @classmethod
+    def of(cls, ids: pa.Array, texts: pa.Array) -> Batch:
         parts, sizes = [], []
         for _, _, h, first in tokens.words(texts, True):
             parts.append(h)
             sizes.append(np.diff(first))
-        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        self.size = size + 1
-        last = np.cumsum(self.size) - 1
-        n = int(self.size.sum())
-        self.word = np.full(n, END, _U)
-        inner = np.ones(n, bool)
-        inner[last] = False
-        self.word[inner] = np.concatenate(parts) if parts else np.zeros(0, _U)
-        self.first = last - size
-        self.history = np.empty(n, _U)
-        self.history[1:] = self.word[:-1]
-        self.history[self.first] = BEGIN
-        self.train = np.repeat(~self.held, self.size)
-        #: Places of equal content in any run, so that answers meet the batch that asked.
-        self.name = int(tokens.mix(np.array([tokens.mix(self.word * _U(3) + self.history).sum(dtype=_U) + _U(n), zlib.crc32(str(ids.to_pylist()).encode())], _U) * _U(0x9E3779B97F4A7C15)).sum(dtype=_U)) - 2**63
-
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct words and BEGIN, and counts in training."""
-        keys, at = np.unique(self.word, return_inverse=True)
-        count = np.bincount(at[self.train], minlength=len(keys))
-        i = int(np.searchsorted(keys, BEGIN))
-        return np.insert(keys, i, BEGIN), np.insert(count, i, int((~self.held).sum()))
-
-    def pair_keys(self) -> np.ndarray:
-        return tokens.mix(self.history * _U(0xC2B2AE3D27D4EB4F) + tokens.mix(self.word))
-
-
-def batches(docs: DataFrame, batch_bytes: int):
-    """Arrow batches of (doc_id, text) cut at about batch_bytes."""
+        size = (np.concatenate(sizes) if sizes else np.zeros(0, np.int64)) + 1
+        word = np.full(int(size.sum()), END, _U)
+        inner = np.ones(len(word), bool)
+        inner[np.cumsum(size) - 1] = False
+        word[inner] = np.concatenate(parts) if parts else np.zeros(0, _U)
+        return cls(ids, size, *np.unique(word, return_inverse=True))
+
+    def row(self, name: int) -> tuple:
+        sink = pa.BufferOutputStream()
+        part = pa.record_batch([self.ids], names=["doc_id"])
+        with pa.ipc.new_stream(sink, part.schema) as w:
+            w.write_batch(part)
+        return name, sink.getvalue().to_pybytes(), _zip(self.size.astype("<u4")), _zip_keys(self.words), _zip(self.at.astype("<u4"))
+
+    @classmethod
+    def read(cls, ids: bytes, sizes: bytes, words: bytes, places: bytes) -> Batch:
+        x = pa.ipc.open_stream(ids).read_all().column(0).combine_chunks()
+        return cls(x, _unzip(sizes, "<u4").astype(np.int64), _unzip_keys(words), _unzip(places, "<u4"))
+
+    def grams(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's context of level - 1 words, and its key with the word."""
+        word = self.words[self.at]
+        place = np.arange(len(word)) - np.repeat(self.first, self.size)
+        context = np.zeros(len(word), _U)
+        for back in range(1, level):
+            before = np.full(len(word), BEGIN, _U)
+            before[place >= back] = word[np.flatnonzero(place >= back) - back]
+            context = tokens.mix(context * _U(0x9FB21C651E98DF25) + before)
+        return context, tokens.mix(context * _U(0xC2B2AE3D27D4EB4F) + tokens.mix(word))
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place of each of x among them."""
+    keys, at = np.unique(x, return_inverse=True)
+    return keys, at.astype(np.uint32)
+
+
+def batched(docs: DataFrame, batch_bytes: int) -> DataFrame:
+    """BATCHED rows of the documents, named by partition and place; they are written once and then read."""
     def run(stream):
+        name = TaskContext.get().partitionId() << 32
         for b in stream:
             _, at = tokens.strings(b.column(1))
             i = 0
             while i < b.num_rows:
                 j = max(i + 1, int(np.searchsorted(at, at[i] + batch_bytes, "right")) - 1)
-                yield b.slice(i, j - i)
-                i = j
+                part = b.slice(i, j - i)
+                yield pa.record_batch([pa.array([x]) for x in Batch.of(part.column(0), part.column(1)).row(name)], names=["batch", "ids", "sizes", "words", "places"])
+                name, i = name + 1, j
 
-    return run
+    return docs.select("doc_id", "text").mapInArrow(run, BATCHED)
 
 
-def _buckets(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of keys by bucket, and where each bucket's keys end in that order."""
-    b = (keys >> _U(20)) % _U(n)
-    order = np.argsort(b, kind="stable")
-    return order, np.searchsorted(b[order], np.arange(n, dtype=_U), "right")
+def _cuts(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of n buckets (ranges of hashes) starts and ends among sorted keys."""
+    border = np.array([-(-(i << 64) // n) for i in range(1, n)], _U)
+    cut = np.searchsorted(keys, border, "left")
+    return np.concatenate([[0], cut]), np.concatenate([cut, [len(keys)]])
 
 
 def _asks(name: int, keys: np.ndarray, counts: np.ndarray, n: int):
-    order, ends = _buckets(keys, n)
-    starts = np.concatenate([[0], ends[:-1]])
-    some = np.flatnonzero(ends > starts)
-    k, c = keys[order], counts[order]
+    start, end = _cuts(keys, n)
+    some = np.flatnonzero(end > start)
     return pa.record_batch([
         pa.array([name] * len(some), pa.int64()), pa.array(some.astype(np.int32)),
-        pa.array([_zip_keys(k[starts[i] : ends[i]]) for i in some], pa.binary()), pa.array([_zip(c[starts[i] : ends[i]]) for i in some], pa.binary()),
+        pa.array([_zip_keys(keys[start[i] : end[i]]) for i in some], pa.binary()), pa.array([_zip(counts[start[i] : end[i]]) for i in some], pa.binary()),
     ], names=["batch", "bucket", "keys", "counts"])
 
 
-def _answers(rows: list[tuple[int, bytes]], keys: np.ndarray, n: int, kind: str, width: int = 1) -> np.ndarray:
-    """Values in the order of keys, from (bucket, packed values) of this batch; the largest where a batch of equal
-    documents asked too (one of them owns a pair)."""
-    order, ends = _buckets(keys, n)
-    starts = np.concatenate([[0], ends[:-1]])
-    out = np.zeros((len(keys), width), kind)
-    got: set[int] = set()
+def _replies(rows: list[tuple[int, bytes]], keys: np.ndarray, n: int, kind: str, width: int = 1) -> np.ndarray:
+    """Values in the order of the sorted keys, from this batch's (bucket, packed values)."""
+    start, end = _cuts(keys, n)
+    out = np.zeros((len(keys), width) if width > 1 else len(keys), kind)
     for bucket, packed in rows:
-        v = _unzip(packed, kind).reshape(-1, width)
-        if len(v) != ends[bucket] - starts[bucket]:
-            raise ValueError("a batch's documents changed between rounds")
-        at = order[starts[bucket] : ends[bucket]]
-        out[at] = np.maximum(out[at], v)
-        got.add(bucket)
-    if sum(int(ends[k] - starts[k]) for k in got) != len(keys):
-        raise ValueError("a batch lacks answers")
+        out[start[bucket] : end[bucket]] = _unzip(packed, kind, width)
     return out
 
 
 def _gather(t: pa.Table, kind: str, width: int = 1):
-    """Rows of a bucket in order of batch: distinct keys, summed counts, place of each asked key, and cuts by row."""
+    """A bucket's asks in order of batch: batches, distinct keys, counts as asked, each one's place, and cuts by batch."""
     t = t.take(pc.sort_indices(t, [("batch", "ascending")]))
     keys = [_unzip_keys(x) for x in t.column("keys").to_pylist()]
-    counts = [_unzip(x, kind).reshape(-1, width) for x in t.column("counts").to_pylist()]
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    counts = np.concatenate([_unzip(x, kind, width) for x in t.column("counts").to_pylist()])
     distinct, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    c = np.concatenate(counts)
-    total = np.stack([np.bincount(at, c[:, i], len(distinct)) for i in range(width)], 1)
-    return t.column("batch").to_pylist(), distinct, total, first, at, cuts
+    return t.column("batch").to_pylist(), distinct, counts, first, at, np.cumsum([len(k) for k in keys])[:-1]
 
 
-def _answer_table(kind_rows: list[tuple[int, int | None, int, bytes, bytes | None]]) -> pa.Table:
-    cols = list(zip(*kind_rows, strict=True))
+def _answers(bucket: int, stats: np.ndarray, keys: np.ndarray, values: np.ndarray, names: list[int], replies: list[np.ndarray]) -> pa.Table:
+    rows = [(STATS, None, bucket, stats.tobytes(), None), (TABLE, None, bucket, _zip_keys(keys), _zip(values))]
+    cols = list(zip(*rows, *((REPLY, name, bucket, _zip(v), None) for name, v in zip(names, replies, strict=True)), strict=True))
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "batch", "bucket", "a", "b"])
 
 
@@ -180,168 +196,161 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class Katz:
-    """The model's rounds over a corpus; the written tables are ``words``, ``pairs`` and ``histories``."""
-
-    def __init__(self, docs: DataFrame, stash: Stash, batch_bytes: int = 1 << 24, slices: int = 2):
-        self.docs, self.stash, self.spark = docs.select("doc_id", "text"), stash, docs.sparkSession
-        self.cut = batches(docs, batch_bytes)
-        self.buckets, self.slices = 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), slices
-        for phase in (self.words, self.pairs, self.histories):
+    """The model's rounds over a corpus; the written tables are ``words``, ``grams-k`` and ``contexts-k``."""
+
+    def __init__(self, docs: DataFrame, stash: Stash, batch_bytes: int = 1 << 24, order: int = 2):
+        self.stash, self.order = stash, order
+        self.batches = stash(batched(docs, batch_bytes), "batches")
+        self.parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # a bucket has about as many keys as a batch, whatever the number of batches
+        self.count = self.batches.count()
+        self.n = max(self.parts, self.count)
+        #: Answers in the order of rounds: words, grams 2, contexts 2, grams 3, ...
+        self.rounds: list[DataFrame] = []
+        self.discount: list[np.ndarray] = []
+        phases = [self.words, *(p for level in range(2, order + 1) for p in (partial(self.grams, level), partial(self.contexts, level)))]
+        for phase in phases:
             phase()
+            # out here, where nothing refers to the phase's plans any more
             stash.release()
 
+    def spread(self, df: DataFrame, key: str, n: int) -> DataFrame:
+        """Grouped by key; in more tasks than the session's where the data need them."""
+        return (df.repartition(n, key) if n > self.parts else df).groupBy(key)
+
+    def answered(self, asked: DataFrame, answer, name: str) -> None:
+        self.rounds.append(self.stash(self.spread(asked, "bucket", self.n).applyInArrow(answer, ANSWER), name))
+
+    def stats(self) -> np.ndarray:
+        """Sum of the last round's statistics: at most eight numbers a bucket."""
+        return sum(np.frombuffer(bytes(r["a"]), "<i8") for r in self.rounds[-1].where(F.col("kind") == STATS).select("a").toLocalIterator())
+
     def words(self) -> None:
-        cut, n = self.cut, self.buckets
+        n = self.n
 
         def ask(stream):
-            for b in cut(stream):
-                x = Batch(b.column(0), b.column(1))
-                yield _asks(x.name, *x.words(), n)
+            for name, x in each(stream):
+                yield _asks(name, x.words, np.bincount(x.at[x.train], minlength=len(x.words)).astype("<u4"), n)
 
         def answer(t: pa.Table) -> pa.Table:
-            bucket = t.column("bucket")[0].as_py()
-            names, keys, total, _, at, cuts = _gather(t, "<i8")
-            c = total[:, 0].astype("<i8")
-            real = (keys != BEGIN) & (c > 0)
-            stats = np.array([c[real].sum(), real.sum()], "<i8")
-            rows = [(0, None, bucket, stats.tobytes(), None), (2, None, bucket, _zip_keys(keys), _zip(c))]
-            return _answer_table(rows + [(1, name, bucket, _zip(v), None) for name, v in zip(names, np.split(c[at], cuts), strict=True)])
-
-        asked = self.docs.mapInArrow(ask, ASK)
-        self.word_answers = self.stash(asked.groupBy("bucket").applyInArrow(answer, ANSWER), "words")
-        # two numbers a bucket
-        stats = [np.frombuffer(bytes(r["a"]), "<i8") for r in self.word_answers.where("kind = 0").select("a").collect()]
-        self.n, self.v = (int(sum(s[i] for s in stats)) for i in (0, 1))
-
-    def pairs(self) -> None:
-        cut, n, slices = self.cut, self.buckets, self.slices
-
-        def ask(part):
-            def run(stream):
-                for b in cut(stream):
-                    x = Batch(b.column(0), b.column(1))
-                    k = x.pair_keys()
-                    mine = k % _U(slices) == part
-                    keys, at = np.unique(k[mine], return_inverse=True)
-                    yield _asks(x.name, keys, np.bincount(at[x.train[mine]], minlength=len(keys)).astype("<u4"), n)
-
-            return run
+            names, keys, counts, _, at, cuts = _gather(t, "<u4")
+            c = np.bincount(at, counts, len(keys)).astype("<i8")
+            return _answers(t.column("bucket")[0].as_py(), np.array([c.sum(), (c > 0).sum()], "<i8"), keys[c > 0], c[c > 0], names, np.split(c[at], cuts))
+
+        self.answered(self.batches.mapInArrow(ask, ASK), answer, "words")
+        self.tokens, self.distinct = map(int, self.stats()) if self.count else (0, 0)
+
+    def grams(self, level: int) -> None:
+        n = self.n
+
+        def ask(stream):
+            for name, x in each(stream):
+                keys, at = distinct(x.grams(level)[1])
+                yield _asks(name, keys, np.bincount(at[x.train], minlength=len(keys)).astype("<u4"), n)
 
         def answer(t: pa.Table) -> pa.Table:
-            bucket = t.column("bucket")[0].as_py()
-            names, keys, total, first, at, cuts = _gather(t, "<u4")
-            c = total[:, 0].astype("<i8")
+            names, keys, counts, first, at, cuts = _gather(t, "<u4")
+            c = np.bincount(at, counts, len(keys)).astype("<i8")
             mine = np.zeros(len(at), bool)
             mine[first] = True
-            v = (np.minimum(c, 2**31 - 1)[at] * 2 + mine).astype("<u4")
-            hist = np.bincount(np.minimum(c, MOST + 2), minlength=MOST + 3).astype("<i8")
-            rows = [(0, None, bucket, hist.tobytes(), None), (2, None, bucket, _zip_keys(keys[c > 0]), _zip(c[c > 0]))]
-            return _answer_table(rows + [(1, name, bucket, _zip(x), None) for name, x in zip(names, np.split(v, cuts), strict=True)])
-
-        self.pair_answers = []
-        for part in range(slices):
-            asked = self.docs.mapInArrow(ask(_U(part)), ASK)
-            self.pair_answers.append(self.stash(asked.groupBy("bucket").applyInArrow(answer, ANSWER), f"pairs-{part}"))
-            self.stash.release()
-        hist = np.zeros(MOST + 3, np.int64)
-        for a in self.pair_answers:
-            for r in a.where("kind = 0").select("a").collect():
-                hist += np.frombuffer(bytes(r["a"]), "<i8")
-        self.discount = discounts(hist.tolist())
-
-    def grouped(self, rounds: list[DataFrame]) -> DataFrame:
-        """Each batch's documents (packed) and its answers of the rounds, by batch."""
-        cut = self.cut
-
-        def pack(stream):
-            for b in cut(stream):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, b.schema) as w:
-                    w.write_batch(b)
-                blob = zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
-                yield pa.record_batch([pa.array([0], pa.int32()), pa.array([Batch(b.column(0), b.column(1)).name], pa.int64()), pa.array([0], pa.int32()), pa.array([blob], pa.binary())], names=["round", "batch", "bucket", "a"])
-
-        out = self.docs.mapInArrow(pack, "round int, batch long, bucket int, a binary")
-        for k, r in enumerate(rounds):
-            out = out.unionAll(r.where("kind = 1").select(F.lit(k + 1).alias("round"), "batch", "bucket", "a"))
-        return out.groupBy("batch")
-
-    def looked_up(self):
-        """(batch table) -> for each copy of the batch: Batch, distinct words and counts, pair counts and ownership."""
-        n, slices = self.buckets, self.slices
-
-        def run(t: pa.Table):
-            rows: dict[int, list] = {}
-            blobs = []
-            for r, bucket, a in zip(t.column("round").to_pylist(), t.column("bucket").to_pylist(), t.column("a").to_pylist(), strict=True):
-                blobs.append(a) if r == 0 else rows.setdefault(r, []).append((bucket, a))
-            b = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blobs[0])).read_all().combine_chunks()
-            ids, texts = (b.column(i).combine_chunks() for i in (0, 1))
-            x = Batch(ids, texts)
-            keys, _ = x.words()
-            copies = len(blobs)
-            once = lambda r: rows.get(r, [])
-            count = _answers(once(1), keys, n, "<i8")[:, 0]
-            k = x.pair_keys()
-            pair = np.zeros(len(k), np.int64)
-            own = np.zeros(len(k), bool)
-            for s in range(slices):
-                at = np.flatnonzero(k % _U(slices) == _U(s))
-                distinct, first, back = np.unique(k[at], return_index=True, return_inverse=True)
-                v = _answers(once(2 + s), distinct, n, "<u4")[:, 0].astype(np.int64)
-                pair[at] = (v >> 1)[back]
-                own[at[first]] = (v & 1).astype(bool)
-            return x, copies, keys, count, pair, own, once
-
-        return run
-
-    def histories(self) -> None:
-        n, look, d = self.buckets, self.looked_up(), self.discount
+            stats = np.bincount(np.minimum(c, MOST + 2), minlength=MOST + 3).astype("<i8")
+            reply = (np.minimum(c, 2**31 - 1)[at] * 2 + mine).astype("<u4")
+            return _answers(t.column("bucket")[0].as_py(), stats, keys[c > 0], c[c > 0], names, np.split(reply, cuts))
+
+        self.answered(self.batches.mapInArrow(ask, ASK), answer, f"grams-{level}")
+        self.discount.append(discounts(self.stats().tolist()) if self.count else np.ones(MOST + 1))
+
+    def met(self) -> tuple[DataFrame, object]:
+        """Batches grouped with the answers so far, and the function that evaluates such a group."""
+        none = [F.lit(None).cast("binary").alias(c) for c in ("sizes", "words", "places")]
+        out = self.batches.select(F.lit(-1).alias("round"), "batch", F.lit(0).alias("bucket"), F.col("ids").alias("a"), "sizes", "words", "places")
+        for k, r in enumerate(self.rounds):
+            out = out.unionAll(r.where(F.col("kind") == REPLY).select(F.lit(k).alias("round"), "batch", "bucket", "a", *none))
+        n, discount, rounds = self.n, self.discount, len(self.rounds)
+        mass = self.tokens + 0.5 * (self.distinct + 1)
+
+        def evaluate(t: pa.Table):
+            """Batch, words' counts, log10 of the unigram, then of the last whole level; grams of an unfinished level."""
+            number, bucket, a = (t.column(c).to_pylist() for c in ("round", "bucket", "a"))
+            own = number.index(-1)
+            x = Batch.read(a[own], *(t.column(c)[own].as_py() for c in ("sizes", "words", "places")))
+            got: dict[int, list] = {}
+            for k, b, v in zip(number, bucket, a, strict=True):
+                got.setdefault(k, []).append((b, v))
+            count = _replies(got[0], x.words, n, "<i8")
+            base = p = np.log10((count[x.at] + 0.5) / mass)
+            level, left = 2, None
+            for k in range(1, rounds, 2):
+                d = discount[level - 2]
+                context, key = x.grams(level)
+                contexts, h = distinct(context)
+                keys, at = distinct(key)
+                del context, key
+                v = _replies(got.pop(k), keys, n, "<u4")
+                c = (v >> 1)[at]
+                share = np.where(c <= MOST, d[np.minimum(c, MOST)], 1.0) * c
+                if k + 1 == rounds:
+                    # the first token of each key that the batch owns
+                    owns = np.unique(at, return_index=True)[1][(v & 1).astype(bool) & (v > 1)]
+                    left = contexts, h, c, owns, share
+                    break
+                del keys, at, v
+                r = _replies(got.pop(k + 1), contexts, n, "<f8", 2)
+                alpha, total = np.abs(r[:, 0]), r[:, 1] + np.signbit(r[:, 0])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    back = np.where(total > 0, np.log10(alpha), 0.0)[h] + p
+                    p = np.where(c > 0, np.log10(share / total[h]), back)
+                level += 1
+            return x, count, base, p, left
+
+        return self.spread(out, "batch", self.count), evaluate
+
+    def contexts(self, level: int) -> None:
+        n, (groups, evaluate) = self.n, self.met()
 
         def ask(t: pa.Table) -> pa.Table:
-            x, _, keys, count, pair, own, _ = look(t)
-            at = np.flatnonzero(own & (pair > 0))
-            h = np.searchsorted(keys, x.history[at])
-            c, w = pair[at], count[np.searchsorted(keys, x.word[at])]
-            sums = np.stack([np.bincount(h, np.where(c <= MOST, d[np.minimum(c, MOST)], 1.0) * c, len(keys)), np.bincount(h, w + 0.5, len(keys))], 1)
-            return pa.Table.from_batches([_asks(x.name, keys, sums.astype("<f8"), n)])
+            x, _, _, p, (keys, h, c, owns, share) = evaluate(t)
+            need = np.zeros(len(keys))
+            need[h[c == 0]] = 1
+            sums = [np.bincount(h[owns], v, len(keys)) for v in (share[owns], 10.0 ** p[owns], c[owns])]
+            return pa.Table.from_batches([_asks(t.column("batch")[0].as_py(), keys, np.stack([*sums, need], 1), n)])
 
         def answer(t: pa.Table) -> pa.Table:
-            bucket = t.column("bucket")[0].as_py()
-            names, keys, total, _, at, cuts = _gather(t, "<f8", 2)
-            rows = [(2, None, bucket, _zip_keys(keys), _zip(total))]
-            return _answer_table(rows + [(1, name, bucket, _zip(v), None) for name, v in zip(names, np.split(total[at], cuts), strict=True)])
+            names, keys, asked, _, at, cuts = _gather(t, "<f8", 4)
+            seen, lower, total = (np.bincount(at, asked[:, i], len(keys)) for i in range(3))
+            whole = (total > 0) & (seen >= total * (1 - 1e-12))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                alpha = np.where(total > 0, (1 - seen / (total + whole)) / (1 - lower), 1.0)
+            told = np.copysign(np.where(asked[:, 3] > 0, alpha[at], 0.0), np.where(whole, -1.0, 1.0)[at])
+            real = total > 0
+            table_ = np.stack([alpha, total + whole], 1)[real]
+            return _answers(t.column("bucket")[0].as_py(), np.zeros(0, "<i8"), keys[real], table_, names, np.split(np.stack([told, total[at]], 1), cuts))
 
-        asked = self.grouped([self.word_answers, *self.pair_answers]).applyInArrow(ask, ASK)
-        self.history_answers = self.stash(asked.groupBy("bucket").applyInArrow(answer, ANSWER), "histories")
+        self.answered(groups.applyInArrow(ask, ASK), answer, f"contexts-{level}")
 
     def scores(self) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-        n, look, d, slices = self.buckets, self.looked_up(), self.discount, self.slices
-        total, mass = self.n, self.n + 0.5 * (self.v + 1)
+        groups, evaluate = self.met()
+        total = self.tokens
 
         def run(t: pa.Table) -> pa.Table:
-            x, copies, keys, count, pair, _, once = look(t)
-            sums = _answers(once(2 + slices), keys, n, "<f8", 2)
-            seen, held = sums[:, 0], count.astype(float)
-            whole = seen >= held * (1 - 1e-12)
-            den = np.where(whole, held + 1, held)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                alpha = np.where(held > 0, (1 - seen / den) / (1 - sums[:, 1] / mass), 1.0)
-                h, w = np.searchsorted(keys, x.history), np.searchsorted(keys, x.word)
-                known = count[w]
-                base = np.log10((known + 0.5) / mass)
-                share = np.where(pair <= MOST, d[np.minimum(pair, MOST)], 1.0) * pair
-                token = np.where(pair > 0, np.log10(share / den[h]), np.log10(alpha[h]) + base)
-            add = lambda v: np.add.reduceat(v, x.first) if len(x.first) else np.zeros(0, v.dtype)
-            out = pa.table([
-                x.ids, pa.array(x.held), pa.array(x.size), pa.array(add((known > 0).astype(np.int64))), pa.array(np.full(len(x.size), total)),
-                pa.array(add(base)), pa.array(add(token)),
+            x, count, base, p, _ = evaluate(t)
+            add = lambda v: np.add.reduceat(v, x.first)
+            return pa.table([
+                x.ids, pa.array(x.held), pa.array(x.size), pa.array(add((count[x.at] > 0).astype(np.int64))), pa.array(np.full(len(x.size), total)),
+                pa.array(add(base)), pa.array(add(p)),
             ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-            return pa.concat_tables([out] * copies)
 
         schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        return self.grouped([self.word_answers, *self.pair_answers, self.history_answers]).applyInArrow(run, schema)
+        return groups.applyInArrow(run, schema)
+
+
+def each(stream):
+    """(name, Batch) of BATCHED rows."""
+    for b in stream:
+        for i in range(b.num_rows):
+            name, *rest = (b.column(c)[i].as_py() for c in ("batch", "ids", "sizes", "words", "places"))
+            yield name, Batch.read(*rest)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

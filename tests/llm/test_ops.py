@@ -262,43 +262,56 @@ def test_learned_rules(spark):
     assert quality.learn([x | {"bad": False} for x in rows]) == [] and quality.learn([]) == []
 
 
-def test_katz(spark, docs, none):
-    got = katz.Katz(docs, Stash(spark), batch_bytes=3000).scores().collect()
-    seqs = [(r[0], [data.lower(x) for x in data.split(r[1])] + [None]) for r in ROWS]
-    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
-    c, pairs, history = collections.Counter(), collections.Counter(), collections.Counter()
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz(spark, docs, none, order):
+    rows = [*ROWS, (None, "one two three", "s"), (None, None, "s"), (3, "another text of the same id", "s")]
+    df = data.frame(spark, rows).repartition(5)
+    got = katz.Katz(df, Stash(spark), batch_bytes=3000, order=order).scores().collect()
+    seqs = [(r[0], [data.lower(x) for x in data.split(r[1])] + [None]) for r in rows]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
+    # contexts of each level: the words before, begin marks before those
+    contexts = lambda w, k: [tuple((["<s>"] * (k - 1) + w)[i : i + k - 1]) for i in range(len(w))]
+    c, grams = collections.Counter(), {k: collections.Counter() for k in range(2, order + 1)}
     for d, w in seqs:
         if not held(d):
-            h = ["<s>", *w[:-1]]
             c.update(w)
-            pairs.update(zip(h, w, strict=True))
-            history.update(h)
+            for k in grams:
+                grams[k].update(zip(contexts(w, k), w, strict=True))
     n, v = sum(c.values()), len(c)
     mass = n + 0.5 * (v + 1)
-    cc = collections.Counter(pairs.values())
-    d = katz.discounts([cc[i] for i in range(katz.MOST + 3)])
-    less = lambda k: k * (d[k] if k <= katz.MOST else 1)
-    seen, words = collections.Counter(), collections.Counter()
-    for (h, w), k in pairs.items():
-        seen[h] += less(k)
-        words[h] += c[w] + 0.5
+    alpha, whole = {}, {}
 
     def p(h, w):
-        last = (c[w] + 0.5) / mass
-        if not history[h]:
-            return last
-        whole = history[h] + 1 if seen[h] >= history[h] * (1 - 1e-12) else history[h]
-        return less(pairs[h, w]) / whole if pairs[h, w] else (1 - seen[h] / whole) / (1 - words[h] / mass) * last
-
-    for h in ("<s>", "same", "w1", "w2"):
+        """P of w after the words h."""
+        if not h:
+            return (c[w] + 0.5) / mass
+        k = len(h) + 1
+        if h not in whole:
+            return p(h[1:], w)
+        return less[k](grams[k][h, w]) / whole[h] if grams[k][h, w] else alpha[h] * p(h[1:], w)
+
+    less = {}
+    for k in grams:
+        cc = collections.Counter(grams[k].values())
+        d = katz.discounts([cc[i] for i in range(katz.MOST + 3)])
+        less[k] = lambda x, d=d: x * (d[x] if x <= katz.MOST else 1)
+        seen, lower, total = collections.Counter(), collections.Counter(), collections.Counter()
+        for (h, w), x in grams[k].items():
+            seen[h] += less[k](x)
+            lower[h] += p(h[1:], w)
+            total[h] += x
+        for h in total:
+            whole[h] = total[h] + (seen[h] >= total[h] * (1 - 1e-12))
+            alpha[h] = (1 - seen[h] / whole[h]) / (1 - lower[h])
+    some = [("<s>",), ("same",), ("w1",), ("w2",)] + [("<s>", "<s>"), ("same", "same"), ("w1", "unknown")] * (order > 2)
+    for h in some:
         assert math.isclose(sum(p(h, w) for w in c) + p(h, "unknown"), 1, rel_tol=1e-9)
     want = collections.Counter()
     for doc, w in seqs:
-        h = ["<s>", *w[:-1]]
-        base, score = sum(math.log10((c[x] + 0.5) / mass) for x in w), sum(math.log10(p(*x)) for x in zip(h, w, strict=True))
+        base, score = sum(math.log10((c[x] + 0.5) / mass) for x in w), sum(math.log10(p(*x)) for x in zip(contexts(w, order), w, strict=True))
         want[doc, held(doc), len(w), sum(c[x] > 0 for x in w), n, round(base, 6), round(score, 6)] += 1
     assert collections.Counter((*tuple(r)[:5], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == want
-    assert katz.Katz(none, Stash(spark)).scores().count() == 0
+    assert katz.Katz(none, Stash(spark), order=order).scores().count() == 0
 
 
 def test_packing(spark, docs, none):
