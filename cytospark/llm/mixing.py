@@ -6,13 +6,15 @@ below its source's threshold. Thresholds come from histograms: tokens summed by
 the running sum crosses the budget found per source, and only that bucket divided again, until it holds one hash. No
 row is sorted, sources never meet in one task, and equal hashes are taken or left together, so reruns agree.
 
-Null text has size 0, a null source is a source of its own (last). Documents with equal ids share a hash. An empty table
-gives an empty result. Extra columns pass through ``mix``.
+Null text has size 0, a null source is a source of its own (last). Rows with equal ids share a hash, whatever their texts,
+and are taken or left together; null ids share the least hash. Texts of any length are read whole. One row a source comes
+to the driver: the number of source names, not of documents, must fit there. An empty table gives an empty result. Extra
+columns of any names pass through ``mix`` and ``take``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stash, n_words, table
@@ -75,33 +77,32 @@ def plan(sized: DataFrame, stash: Stash, share: float = 1.5, most: float = 2.0,
     return at.select("source", "source_size", "target", "passes", F.col("lo").alias("threshold"))
 
 
-def hashed(docs: DataFrame) -> DataFrame:
+def hashed(docs: DataFrame, *keep: Column) -> DataFrame:
+    """keep, source, h (hash of the id), size (words)."""
     h = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, BITS // 4), 16, 10).cast("long")
-    return docs.select("*", F.coalesce(h, F.lit(0).cast("long")).alias("mix_h_"))
+    return docs.select(*keep, "source", F.coalesce(h, F.lit(0).cast("long")).alias("h"), n_words(F.col("text")).alias("size"))
 
 
 def mix(docs: DataFrame, stash: Stash) -> DataFrame:
-    """The documents' columns and mix_size_, mix_copies_, mix_source_size_, mix_target_ of every document."""
-    full = hashed(docs).withColumn("mix_size_", n_words(F.col("text")))
-    sized = stash(full.select("source", F.col("mix_size_").alias("size"), F.col("mix_h_").alias("h")), "mix-sized")
+    """row (the document's columns, of any names), size, copies, source_size, target of every document."""
+    sized = stash(hashed(docs), "mix-sized")
     # the plan has one row a source; Spark broadcasts it while it is small, else joins by a shuffle it can split
-    at = plan(sized, stash).select(*(F.col(c).alias(f"mix_{c}_") for c in ("source", "source_size", "target", "passes", "threshold")))
-    out = full.join(at, F.col("source").eqNullSafe(F.col("mix_source_")), "left")
-    copies = F.col("mix_passes_") + (F.col("mix_h_") < F.col("mix_threshold_")).cast("int")
-    return out.select(*docs.columns, "mix_size_", copies.alias("mix_copies_"), "mix_source_size_", "mix_target_")
+    at = plan(sized, stash)
+    out = hashed(docs, F.struct(*docs.columns).alias("row")).alias("x").join(at.alias("y"), F.col("x.source").eqNullSafe(F.col("y.source")), "left")
+    copies = F.col("passes") + (F.col("h") < F.col("threshold")).cast("int")
+    return out.select("row", "size", copies.alias("copies"), "source_size", "target")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = mix(docs, Stash(spark))
-    return out.select("doc_id", F.col("mix_size_").alias("size"), F.col("mix_source_size_").alias("source_size"), F.col("mix_target_").alias("target"), (F.col("mix_size_") * F.col("mix_copies_")).cast("long").alias("taken"))
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def take(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it."""
-    out = mix(docs, Stash(spark))
-    again = F.explode(F.array_repeat(F.lit(0), F.col("mix_copies_"))).alias("mix_copy_")
-    return out.where("mix_copies_ > 0").select(again, *docs.columns).drop("mix_copy_")
+    out = mix(docs, Stash(spark)).where("copies > 0")
+    return out.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
 
 
 #: The same by running sums in hash order: a document is in the partial pass if the sum up to its hash ends nearer the
