@@ -112,12 +112,13 @@ def judge(pages: DataFrame, stash: Stash, rules=RULES, links: DataFrame | None =
         edges = edges.unionAll(links.select(node(F.col("src")).alias("a"), node(F.col("dst")).alias("b")))
         named = named.unionAll(links.select("src")).unionAll(links.select("dst"))
     cc = components(edges, stash, "urls").withColumnRenamed("id", "node")
-    placed = p.join(cc, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    # written before they are joined: the largest component is a key that Spark can then split
+    placed = stash(p.join(cc, "node", "left").select("page_id", "host", "path", "rule", "said", F.coalesce("component", "node").alias("group")), "placed")
     # urls that edges name are judged as well: most targets of redirects are no rows of pages
     judged = named.select(node(F.col("url")).alias("node"), *(c.alias(n) for c, n in zip(host_path(F.col("url")), ("host", "path"), strict=True))).select("node", verdict.alias("said"))
     judged = judged.where("node is not null and said is not null").distinct().join(cc, "node", "left").select(F.coalesce("component", "node").alias("group"), "said")
     said = placed.where("said is not null and group is not null").select("group", "said").unionAll(judged)
-    said = said.groupBy("group").agg(F.max(F.col("said") == "allow").alias("allowed"))
+    said = stash(said.groupBy("group").agg(F.max(F.col("said") == "allow").alias("allowed")), "said")
     out = placed.join(said, "group", "left")
     final = F.coalesce("said", F.when(~F.col("allowed"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", final.alias("verdict"))
