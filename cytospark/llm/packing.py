@@ -7,8 +7,11 @@ multiplicities, and local search moves pieces between underfull kinds, one for o
 whenever that raises the sum of squared fills, until sequences empty. Pieces then take their places by rank among pieces of
 their length; ranks are counted in small cells, so one common length does not meet in one task.
 
-Null texts count as empty (one end id). Repeated rows are packed each for itself. An empty table gives an empty result.
-Extra columns are not read. A text is tokenised whole, in pieces cut at single spaces, where token boundaries always are.
+Null texts count as empty (one end id). A null doc_id is as any other. Repeated rows, and rows of one id with other texts,
+are packed each for itself: pieces are numbered, so that equal ones are no hot key. Of pieces of one length any may take any
+place. An empty table gives an empty result. Extra columns are not read. A text of any length is tokenised whole, in pieces
+cut at single spaces, where token boundaries always are; one that holds an added token of the vocabulary (such as
+``<|endoftext|>``) is handed to the tokenizer itself.
 """
 
 from __future__ import annotations
@@ -49,7 +52,11 @@ class Ids:
         import regex
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        added = sorted((t.content for t in self.whole.get_added_tokens_decoder().values()), key=len, reverse=True)
+        #: Texts that hold an added token go to the tokenizer as they are.
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.letters = byte_letters()
         self.most = most
@@ -68,6 +75,8 @@ class Ids:
         return b"".join(map(self.part, self.pattern.findall(x)))
 
     def text(self, t: str) -> bytes:
+        if self.added and self.added.search(t):
+            return _bytes(self.whole.encode(t, add_special_tokens=False).ids)
         words = t.split(" ")
         got = list(map(self.after.get, words))
         got[0] = self.chunk(words[0])
@@ -234,14 +243,15 @@ def places(kinds: dict[tuple[int, ...], int]) -> list[tuple[int, int, int, int,
 def pack(docs: DataFrame, stash: Stash, path: str, room: int = ROOM, cell_rows: int = 1024) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    p = stash(pieces(docs, path, room), "pieces")
+    p = stash(pieces(docs, path, room).withColumn("piece_no", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count("*").alias("n")).collect()}
     ranges = spark.createDataFrame(places(improve(best_fit(counts, room), room)), "len_ long, lo long, hi long, first long, offset long")
-    cells = max(1, sum(counts.values()) // cell_rows)
-    p = p.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(cells)))
+    # so many cells a length that each has about cell_rows pieces
+    cells = F.create_map(*(F.lit(x) for n, k in counts.items() for x in (n, -(-k // cell_rows))))[F.col("length")] if counts else F.lit(1)
+    p = p.withColumn("cell", F.pmod(F.xxhash64("piece_no"), cells))
     sizes = p.groupBy("length", "cell").agg(F.count("*").alias("n"))
     before = (F.sum("n").over(Window.partitionBy("length").orderBy("cell")) - F.col("n")).alias("before")
-    own = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "cell").orderBy("piece_no")) - 1
     ranked = p.withColumn("own", own).join(sizes.select("length", "cell", before), ["length", "cell"]).withColumn("rank", F.col("own") + F.col("before"))
     # ranges has a row for each place in a kind of sequence: bounded by room and the search, not by the rows
     out = ranked.alias("x").join(F.broadcast(ranges).alias("y"), F.expr("length = len_ and rank >= lo and rank < hi"))
