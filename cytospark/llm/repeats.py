@@ -12,8 +12,9 @@ twice repeats, and one occurrence of each content has its windows compared (anch
 Counts are aggregated before shuffles, and hot anchors meet only in joins that Spark can split.
 
 Null and empty texts have no words. Windows reach neither over documents nor below 35 words. Repeated rows are elsewhere
-to one another, also with equal ids. A null doc_id is as any other. Very long texts are handled whole. An empty table
-gives an empty result. Extra columns pass through ``cleaned``.
+to one another, also with equal ids; rows of one id with other texts are rows like others. A null doc_id is as any other.
+Ties for a window's anchor go to the greater hash, then to the left. Very long texts are handled whole. An empty table
+gives an empty result. Extra columns of any names pass through ``cleaned``.
 """
 
 from __future__ import annotations
@@ -57,8 +58,6 @@ def symbols(h: np.ndarray, doc: np.ndarray):
         joined[1:-1] = doc[s[1:]] == doc[s[:-1]]
         coin = (tokens.mix(name + _U(0x632BE59BD9B4E019 * (k + 1) % 2**64)) >> _U(63)).astype(bool)  # right if set
         pair = np.flatnonzero(joined[1:-1] & ~coin[:-1] & coin[1:])
-        if not len(pair):
-            continue
         # an unpaired symbol depends on the neighbour that it might have paired with
         left = np.concatenate([[-_FAR], np.where(joined[1:-1], lo[:-1], -_FAR)])
         right = np.concatenate([np.where(joined[1:-1], hi[1:], _FAR), [_FAR]])
@@ -177,6 +176,7 @@ def marked(docs: DataFrame, stash: Stash) -> DataFrame:
     sure = found.where("not mixed").select("row", "u", "n").unionAll(joined.where("k > 1").select("row", "u", "n"))
     sure = stash(sure, "sure")
     seen = several.select(F.col("one.row").alias("row"), F.struct(F.col("one.u").alias("u"), F.col("one.n").alias("n"), "a", F.least(F.col("k"), F.lit(2)).cast("int").alias("weight")).alias("s"))
+    # what is collected for a row is at most what its own text has
     of = seen.groupBy("row").agg(F.collect_list("s").alias("segs"))
     looked = stash(docs.join(of, "row").mapInArrow(_windows, "a long, w long, row long, u int, weight int"), "windows")
     stash.drop("found", "several")
@@ -214,9 +214,9 @@ def _windows(batches):
             yield _batch([(np.repeat(np.array(a), n), pa.int64()), (tokens.signed(tokens.spans(sums, at, at + WIDTH)), pa.int64()), (rows[i + row], pa.int64()), (at - first[row], pa.int32()), (np.repeat(np.array(k), n), pa.int32())], ["a", "w", "row", "u", "weight"])
 
 
-def with_row(docs: DataFrame) -> DataFrame:
-    """row: a key of (doc_id, text), equal only for repeated rows, which lose the same words."""
-    return docs.withColumn("row", F.xxhash64("doc_id", "text"))
+def numbered(docs: DataFrame, stash: Stash) -> DataFrame:
+    """The rows, written once with a number each (row): repeated rows and ids stay apart, and none is a hot key."""
+    return stash(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
 
 
 def digest(docs: DataFrame, stash: Stash) -> DataFrame:
@@ -226,7 +226,7 @@ def digest(docs: DataFrame, stash: Stash) -> DataFrame:
             out = [_kept(t, [(x["u"], x["u"] + x["n"] + WIDTH - 1) for x in g or ()]) for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.record_batch([b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in out], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    d = with_row(docs.select("doc_id", "text"))
+    d = numbered(docs.select("doc_id", "text"), stash)
     gone = marked(d.select("row", "text"), stash)
     return d.join(gone, "row", "left").select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -240,7 +240,7 @@ def cleaned(docs: DataFrame, stash: Stash) -> DataFrame:
 
     # columns go by place, so that those of the documents may have any names
     rest = [c for c in docs.columns if c != "text"]
-    d = with_row(docs.select("doc_id", "text", F.struct(*rest).alias("rest"))).select("row", "text", "rest")
+    d = numbered(docs.select("text", F.struct(*rest).alias("rest")), stash)
     gone = marked(d.select("row", "text"), stash)
     x = d.join(gone, "row", "left").select("text", "gone", "rest")
     x = x.mapInArrow(run, x.select("text", "rest").schema)
