@@ -5,7 +5,7 @@ import itertools
 import random
 import re
 
-COLUMNS = ("row", "n", "key", "id", "a", "b", "c", "h", "cell", "size", "rank", "target", "threshold", "passes", "gone", "batch", "words", "stats", "kept")
+COLUMNS = ("row", "n", "key", "id", "a", "b", "c", "h", "cell", "size", "rank", "target", "threshold", "passes", "gone", "batch", "words", "stats", "kept", "part", "number", "piece_no", "place")
 
 
 def documents(seed: int = 1) -> list[tuple]:
