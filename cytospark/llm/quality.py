@@ -3,11 +3,15 @@
 Sequential covering: a rule (a conjunction of thresholds on statistics) is grown literal by literal on two thirds of
 the labelled rows by FOIL's information gain, pruned back from its last literal on the other third, and accepted if
 enough of what it covers there is bad; the rows it covers leave, and the next rule is grown. The list is emitted as an
-ordered chain of ``CASE WHEN``. Learning reads at most ``sample`` labelled rows (those of least md5 of the id); the
-statistics and the verdicts cover every row and every whole text.
+ordered chain of ``CASE WHEN``. Learning reads at most ``sample`` labelled documents (20,000: those of least md5 of the id)
+and stops at ``max_rules`` rules (8) of ``max_literals`` literals (4) that each cover ``least`` held-back bad rows (5);
+the statistics and the verdicts cover every row and every whole text. Of literals with equal gain the first feature's and
+least threshold's wins; a bad row is one of quality 0.
 
 Null text counts as empty; empty tables give an empty result; labels without a document, null or repeated are ignored
-(repeated ones by their smallest value). Repeated rows are judged each for itself. Extra columns are not read.
+(repeated ones by their smallest value). A null doc_id is as any other, without a label. Repeated rows, and rows of one id
+with other texts, are judged each for itself. Texts of any length are read whole. Extra columns are not read; ``keep``
+passes them on.
 """
 
 from __future__ import annotations
@@ -133,11 +137,15 @@ def as_column(rules: list[tuple[list[tuple], str]], default: str = "keep") -> Co
     return F.lit(default) if out is None else out.otherwise(default)
 
 
-def labelled(features: DataFrame, labels: DataFrame, sample: int) -> list[dict]:
-    """At most sample labelled rows that pass the base rules, those of least md5 of the id."""
+def chosen(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """doc_id, quality of at most sample labelled documents: those of least md5 of the id."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    one = features.where(~F.col("base_failed")).dropDuplicates(["doc_id"])
-    got = one.join(known, "doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
+    return known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
+
+
+def labelled(features: DataFrame, known: DataFrame, sample: int) -> list[dict]:
+    """The rows of the chosen documents that pass the base rules; of repeated ids at most sample in all."""
+    got = features.where(~F.col("base_failed")).join(known, "doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", *FEATURES).limit(sample)
     return [x.asDict() | {"bad": x["quality"] == 0} for x in got.select("doc_id", "quality", *FEATURES).collect()]
 
 
@@ -145,7 +153,7 @@ def judge(docs: DataFrame, labels: DataFrame, stash: Stash, sample: int = 20_000
     """Statistics, base_failed, the rule list's verdict and kept of every document."""
     stats = stash(statistics(docs), "stats")
     full = with_features(stats)
-    rules = learn(labelled(full, labels, sample), precision)
+    rules = learn(labelled(full, stash(chosen(docs, labels, sample), "chosen"), sample), precision)
     return full.withColumn("verdict", as_column(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("verdict") == "keep"))
 
 
@@ -155,13 +163,15 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def keep(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose id the rules keep, with their own columns.
+    """Pipeline stage: the rows that the rules keep, with their own columns of any names.
 
-    Rows are filtered by the decision list over their own statistics, in the same scan: no join back to the texts.
+    Rules are learned from the statistics of the chosen documents alone (at most 20,000 of them); then rows are filtered
+    by the decision list over their own statistics, in the same scan: no join back to the texts.
     """
     stash = Stash(spark)
     cols = docs.columns
-    full = stash(with_features(statistics(docs)), "stats")
-    rules = learn(labelled(full, table(spark, sf_dir, "labels"), 20_000))
+    known = stash(chosen(docs, table(spark, sf_dir, "labels"), 20_000), "chosen")
+    seen = stash(with_features(statistics(docs.select("doc_id", "text").join(known, "doc_id", "left_semi"))), "stats")
+    rules = learn(labelled(seen, known, 20_000))
     judged = with_features(statistics(docs, F.struct(*cols).alias("row")))
     return judged.where(~F.col("base_failed") & (as_column(rules) == "keep")).select("row.*")
