@@ -132,9 +132,11 @@ def batched(docs: DataFrame, batch_bytes: int) -> DataFrame:
         name = TaskContext.get().partitionId() << 32
         for b in stream:
             _, at = tokens.strings(b.column(1))
+            # equal parts, so that no small rest asks for its keys again
+            most = -(-(at[-1] - at[0]) // max(1, round((at[-1] - at[0]) / batch_bytes)))
             i = 0
             while i < b.num_rows:
-                j = max(i + 1, int(np.searchsorted(at, at[i] + batch_bytes, "right")) - 1)
+                j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
                 part = b.slice(i, j - i)
                 yield pa.record_batch([pa.array([x]) for x in Batch.of(part.column(0), part.column(1)).row(name)], names=["batch", "ids", "sizes", "words", "places"])
                 name, i = name + 1, j
