@@ -76,13 +76,20 @@ def remove_short_runs(bins: DataFrame, flag: str = "bad", order: str = "bin", le
 
 
 def event_mask(events: DataFrame, bad_bins: DataFrame, per_bin: int | Column, index: str = "event_idx", *by: str) -> DataFrame:
-    """good is false for events that any bad bin covers: bins overlap by half, so an event has two or three to look up.
+    """good is false for events that any bad bin covers. A column per_bin is one of events.
 
-    A column per_bin is one of events."""
-    look = events.select(*by, index, F.explode(covering(F.col(index), per_bin)).alias("bin"))
-    hit = look.join(bad_bins.select(*by, "bin"), [*by, "bin"], "left_semi").select(*by, index).distinct()
-    marked = events.join(hit.withColumn("bad_", F.lit(True)), [*by, index], "left")
-    return marked.withColumn("good", F.col("bad_").isNull()).drop("bad_")
+    A verdict holds for a whole step between bins' starts: bin b covers steps b and b + 1 and, where bins hold an odd
+    number of events, the first event of step b + 2. So events look up one row of a table of steps, as small as that of
+    bins, and are neither multiplied nor joined with themselves.
+    """
+    step = bin_step(per_bin)
+    i, odd = F.col(index), F.pmod(per_bin if isinstance(per_bin, Column) else F.lit(per_bin), F.lit(2)) == 1
+    part = lambda k, first: F.struct((F.col("bin").cast("long") + k).alias("step_"), F.lit(first).alias("first_"))
+    steps = bad_bins.select(*by, F.explode(F.array(part(0, False), part(1, False), part(2, True))).alias("p_"))
+    steps = steps.groupBy(*by, "p_.step_").agg((~F.bool_and("p_.first_")).alias("all_"))
+    marked = events.withColumn("step_", F.floor(i / step)).join(steps, [*by, "step_"], "left")
+    bad = F.col("all_").isNotNull() & (F.col("all_") | (odd & (i % step == 0)))
+    return marked.select(*events.columns, (~bad).alias("good"))
 
 
 def unstable_regions(events: DataFrame, good: str = "good", order: str = "event_idx", *by: str) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ChannelError
 from ..functions.transforms import PREPROCESS_COFACTOR, Arcsinh, Biexponential, fluorescence_channels
+from ..session import ship
+from ..sources import keywords as K
 
 
 def invert(matrix) -> np.ndarray:
@@ -45,6 +48,48 @@ def compensate(df: DataFrame, matrix, channels: list[str], only: list[str] | Non
     return df.withColumns({c: combine(inverse[i], cols) for i, c in enumerate(channels) if only is None or c in only})
 
 
+def inverses(keywords: DataFrame, channels: list[str]) -> DataFrame:
+    """file_id, inverse: of each file's spillover matrix over the channels, by rows; keywords: file_id, key, value.
+
+    Channels that a file's matrix does not name stay as they are; a file without a matrix has no row; a matrix that is
+    malformed or singular, or names a channel that is not among the channels, is an error.
+    """
+    def run(batches):
+        for b in batches:
+            ids, out = [], []
+            for ident, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                m = K.spillover({x["key"]: x["value"] for x in found})
+                if unknown := set(m["names"]) - set(channels):
+                    raise ChannelError(f"{ident}: matrix of other channels: {sorted(unknown)}")
+                full = np.eye(len(channels))
+                at = [channels.index(c) for c in m["names"]]
+                full[np.ix_(at, at)] = np.reshape(m["values"], (m["n"], m["n"]))
+                ids.append(ident)
+                out.append(invert(full).ravel())
+            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(out, pa.list_(pa.float64()))], names=["file_id", "inverse"])
+
+    ship(keywords.sparkSession)
+    found = keywords.where(F.col("key").isin("$SPILLOVER", "$SPILL", "$COMP")).groupBy("file_id").agg(F.collect_list(F.struct("key", "value")).alias("found"))
+    return found.mapInArrow(run, "file_id string, inverse array<double>")
+
+
+def compensate_files(df: DataFrame, keywords: DataFrame, channels: list[str]) -> DataFrame:
+    """Each file's events by its own matrix, joined by file_id; files without one stay as they are."""
+    if missing := [c for c in channels if c not in df.columns]:
+        raise ChannelError(f"missing channels: {missing}")
+    n = len(channels)
+    raw = [F.col(f"`{c}`").cast("double") for c in channels]
+    x = df.join(inverses(keywords, channels).withColumnRenamed("inverse", "inverse_"), "file_id", "left")
+    row = lambda i: sum((F.get("inverse_", F.lit(i * n + j)) * raw[j] for j in range(1, n)), F.get("inverse_", F.lit(i * n)) * raw[0])
+    return x.withColumns({c: F.when(F.col("inverse_").isNull(), raw[i]).otherwise(row(i)) for i, c in enumerate(channels)}).select(*df.columns)
+
+
+def default_biexponential(df: DataFrame, channels: list[str] | None = None) -> DataFrame:
+    """The given channels, or all fluorescence ones, on the biexponential scale with default parameters."""
+    scale = Biexponential()
+    return df.withColumns({c: scale.forward(F.col(f"`{c}`")) for c in channels or fluorescence_channels([c for c in df.columns if c not in ("file_id", "event_idx")])})
+
+
 def unmix(df: DataFrame, matrix, channels: list[str], cofactor: float = 200.0) -> DataFrame:
     """From arcsinh space to raw, compensated, and back."""
     scale = Arcsinh(cofactor)

@@ -143,15 +143,16 @@ def mad_bins(smooth: DataFrame, threshold: float = 6.0, *by: str) -> DataFrame:
     return x.select(*keys, "bin", ((F.col("n") >= 3) & (F.col("mad") > 0) & far).alias("bad"))
 
 
-def margins(df: DataFrame, ranges: dict[str, tuple[float, float] | None], *, low=None, high=None) -> tuple[DataFrame, list[Column]]:
+def margins(df: DataFrame, ranges: dict[str, tuple[float, float] | None], *by: str, low=None, high=None) -> tuple[DataFrame, list[Column]]:
     """(df with in_margin, aggregates counting (min_removed, max_removed) by channel).
 
     A value at or under max(min(low, 0), data min), or over min(high, data max), is in the margin. A channel without a
-    range has (min(data min, 0), max(data max, 262144)). One aggregation gives all channels' extremes.
+    range has (min(data min, 0), max(data max, 262144)). One aggregation gives all channels' extremes, of each file
+    (by) its own.
     """
     channels = list(ranges)
-    ext = df.agg(*(f(F.col(f"`{c}`")).alias(f"{n}_{i}_") for i, c in enumerate(channels) for n, f in (("lo", F.min), ("hi", F.max))))
-    x = df.crossJoin(F.broadcast(ext))  # one row
+    ext = df.groupBy(*by).agg(*(f(F.col(f"`{c}`")).alias(f"{n}_{i}_") for i, c in enumerate(channels) for n, f in (("lo", F.min), ("hi", F.max))))
+    x = df.join(ext, list(by)) if by else df.crossJoin(F.broadcast(ext))  # one row
     gone, counts = F.lit(False), []
     for i, c in enumerate(channels):
         v, lo, hi = F.col(f"`{c}`"), F.col(f"lo_{i}_"), F.col(f"hi_{i}_")
@@ -163,10 +164,10 @@ def margins(df: DataFrame, ranges: dict[str, tuple[float, float] | None], *, low
     return x.withColumn("in_margin", F.coalesce(gone, F.lit(False))), counts
 
 
-def doublets(df: DataFrame, area: str, height: str, nmad: float = 4.0, b: float = 0.0) -> DataFrame:
-    """df with ratio = A / (1e-10 + H + b) and single: ratio below median + nmad scaled MADs."""
+def doublets(df: DataFrame, area: str, height: str, *by: str, nmad: float = 4.0, b: float = 0.0) -> DataFrame:
+    """df with ratio = A / (1e-10 + H + b) and single: ratio below its file's (by) median + nmad scaled MADs."""
     x = df.withColumn("ratio", F.col(f"`{area}`") / (F.lit(1e-10) + F.col(f"`{height}`") + F.lit(b)))
-    med = x.agg(F.median("ratio").alias("med_"))
-    x = x.crossJoin(F.broadcast(med))  # one row
-    mad = x.agg((F.median(F.abs(F.col("ratio") - F.col("med_"))) * F.lit(MAD_SCALE)).alias("mad_"))
-    return x.crossJoin(F.broadcast(mad)).withColumn("single", F.col("ratio") < F.col("med_") + nmad * F.col("mad_")).drop("med_", "mad_")
+    with_ = lambda x, y: x.join(y, list(by)) if by else x.crossJoin(F.broadcast(y))  # noqa: E731  one row
+    x = with_(x, x.groupBy(*by).agg(F.median("ratio").alias("med_")))
+    mad = x.groupBy(*by).agg((F.median(F.abs(F.col("ratio") - F.col("med_"))) * F.lit(MAD_SCALE)).alias("mad_"))
+    return with_(x, mad).select(*df.columns, "ratio", (F.col("ratio") < F.col("med_") + nmad * F.col("mad_")).alias("single"))

@@ -45,25 +45,32 @@ def local_peaks(grid: np.ndarray, y: np.ndarray, removal: float = 1 / 3) -> np.n
 
 
 def _grouped(df: DataFrame, by: tuple[str, ...], body, schema: str) -> DataFrame:
-    """body(values sorted by nothing) of each group, by Arrow."""
+    """body(values in no order) of each group: values are gathered in the JVM, a group has one bin's, and many groups
+    cross to Python in one Arrow batch."""
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(t: pa.Table) -> pa.Table:
-        out = body(t.column("value").to_numpy(zero_copy_only=False).astype(float))
-        n = len(out[0])
-        keys = [pa.chunked_array([pa.array([t.column(k)[0].as_py()] * n, t.schema.field(k).type)]) for k in by]
-        return pa.table([*keys, *(pa.array(c) for c in out)], names=[*by, *names])
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                values = part.column(len(by))
+                at, flat = values.offsets.to_numpy(), values.values.to_numpy(zero_copy_only=False).astype(float)
+                outs = [body(flat[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                take = pa.array(np.repeat(np.arange(len(outs)), [len(o[0]) for o in outs]))
+                cols = [pa.array(np.concatenate(c)) for c in zip(*outs, strict=True)]
+                yield pa.record_batch([*(part.column(k).take(take) for k in range(len(by))), *cols], names=[*by, *names])
 
     ship(df.sparkSession)
     types = dict(df.dtypes)
-    return df.select(*by, "value").groupBy(*by).applyInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in by) + ", " + schema)
+    values = df.groupBy(*by).agg(F.collect_list("value").alias("values"))
+    return values.select(*by, "values").mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in by) + ", " + schema)
 
 
 def densities(df: DataFrame, *by: str) -> DataFrame:
     """by, i, x, density of each group's column value."""
     def body(v):
         got = density(v)
-        return ([], [], []) if got is None else (np.arange(GRID, dtype=np.int32), got[0], got[1])
+        return (np.zeros(0, np.int32), np.zeros(0), np.zeros(0)) if got is None else (np.arange(GRID, dtype=np.int32), got[0], got[1])
 
     return _grouped(df, by, body, "i int, x double, density double")
 

@@ -37,18 +37,19 @@ class Job:
 def clean(events: DataFrame, job: Job) -> DataFrame:
     """Events of all files (file_id, event_idx, channels) with good; margins and doublets are left out before bins.
 
-    Files share one plan: bins, peaks, trees and masks are grouped by file_id, and indices are made dense again after
-    rows have left, since bins count the events that remain.
+    Files share one plan: extremes, medians, bins, peaks, trees and masks are grouped by file_id, so that a file's result
+    does not depend on those beside it, and indices are made dense again after rows have left, since bins count the events
+    that remain.
     """
     channels = tuple(job.channels or fluorescence_channels([c for c in events.columns if c not in ("file_id", "event_idx")]))
     if not channels:
         raise EngineError("no channels to work on")
     df = events
     if job.remove_margins:
-        df, _ = O.margins(df, job.ranges or {c: None for c in channels})
+        df, _ = O.margins(df, job.ranges or {c: None for c in channels}, "file_id")
         df = df.where("not in_margin").select(*events.columns)
     if job.doublets:
-        df = O.doublets(df, *job.doublets, job.doublet_mads).where("single").select(*events.columns)
+        df = O.doublets(df, *job.doublets, "file_id", nmad=job.doublet_mads).where("single").select(*events.columns)
     if df is not events:
         df = E.dense_index(df.withColumnRenamed("event_idx", "old_idx"), "old_idx", "file_id")
     df = C.preprocess(df, job.matrix, list(job.matrix_channels or channels), job.cofactor, list(channels))

@@ -12,7 +12,7 @@ from ..operators import bins as B
 from ..operators import outliers as O
 from ..operators import peaks as K
 from ..operators import trend as T
-from ..session import ship
+from ..session import ship, written
 from .catalogue import EVENTS, ORACLE, QUERIES, events, query, rounded  # noqa: F401
 
 
@@ -42,10 +42,11 @@ def binned_long(df: DataFrame, channels, per_bin: int | Column, *by: str) -> Dat
 
 
 def found_peaks(long: DataFrame, n_bins: DataFrame, config: Config, *by: str) -> DataFrame:
-    p = K.bin_peaks(long, *by, "bin", "channel", removal=config.removal, remove_zeros=config.remove_zeros)
+    # every bin's density once; what follows reads a few rows a bin several times
+    p = written(K.bin_peaks(long, *by, "bin", "channel", removal=config.removal, remove_zeros=config.remove_zeros), "peaks")
     channels = p.select(*by, "channel").distinct()
     n = channels.join(n_bins, list(by)) if by else channels.crossJoin(F.broadcast(n_bins))  # one row
-    p = K.cluster_peaks(p, n, config.least_percent, *by, "channel")
+    p = written(K.cluster_peaks(p, n, config.least_percent, *by, "channel"), "clusters")
     return K.drop_small_clusters(p, n, 0.5, *by, "channel")
 
 
@@ -72,22 +73,23 @@ def bin_verdicts(df: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     sizes = sizes.withColumn("per_bin_", per_bin)
     n_bins = sizes.select(*by, F.ceil(F.col("n") / B.bin_step(F.col("per_bin_"))).cast("long").alias("n_bins"))
     df, per_bin = sized(df, sizes, config)
-    peaks = found_peaks(binned_long(df, config.channels, per_bin, *by), n_bins, config, *by).cache()
-    # peaks, features and verdicts have a row a bin at most times clusters: kept, as each is used several times
-    feats = K.features(peaks, n_bins, "channel", *by).cache()
+    n_bins = written(n_bins, "n_bins")
+    peaks = found_peaks(binned_long(df, config.channels, per_bin, *by), n_bins, config, *by)
+    # peaks, features and verdicts have a row a bin at most times clusters: written, as each is used several times
+    feats = written(K.features(peaks, n_bins, "channel", *by), "features")
     bins = n_bins.select(*by, F.explode(F.sequence(F.lit(0), F.col("n_bins").cast("int") - 1)).alias("bin"))
     none = F.lit(False)
     tree = O.tree_bins(feats, config.tree_limit, config.force_tree, *by) if config.mode in ("all", "tree") else bins.withColumn("bad", none)
-    bins = bins.join(tree.withColumnRenamed("bad", "tree"), [*by, "bin"], "left").fillna(False, ["tree"])
+    bins = written(bins.join(tree.withColumnRenamed("bad", "tree"), [*by, "bin"], "left").fillna(False, ["tree"]), "tree")
     if config.mode in ("all", "mad"):
         kept = feats.join(bins.where("not tree").select(*by, "bin"), [*by, "bin"], "left_semi")
-        far = O.mad_bins(O.smoothed(kept, 0.5, *by), config.mad, *by).groupBy(*by, "bin").agg(F.bool_or("bad").alias("mad"))
+        far = O.mad_bins(written(O.smoothed(kept, 0.5, *by), "smoothed"), config.mad, *by).groupBy(*by, "bin").agg(F.bool_or("bad").alias("mad"))
         bins = bins.join(far, [*by, "bin"], "left").fillna(False, ["mad"])
     else:
         bins = bins.withColumn("mad", none)
     bins = bins.withColumn("bad", F.col("tree") | F.col("mad"))
     bins = bins if config.mode == "none" else B.remove_short_runs(bins, "bad", "bin", config.consecutive, *by)
-    return bins.cache(), sizes
+    return written(bins, "bins"), sizes
 
 
 def quality_control(df: DataFrame, config: Config) -> DataFrame:
@@ -135,10 +137,14 @@ def _n_bins(spark, sf, per: int = PER) -> DataFrame:
 
 
 def _features(spark, sf, per: int = PER) -> DataFrame:
-    n = _n_bins(spark, sf, per)
+    n = written(_n_bins(spark, sf, per), "n_bins")
     return K.features(found_peaks(_long(spark, sf, per), n, Config(("value",))), n, "channel")
 
 
+def _smoothed(spark, sf, per: int) -> DataFrame:
+    return written(O.smoothed(_features(spark, sf, per)), "smoothed")
+
+
 @query("select greatest(150, (ceil(2 * count(*) / 500.0)::bigint // 500) * 500 + 500) as per_bin from events")
 def bin_size(spark, sf):
     n = events(spark, sf).count()
@@ -257,12 +263,12 @@ def iso_tree_bins(spark, sf):
 
 @query()
 def spline_smooth(spark, sf):
-    return O.smoothed(_features(spark, sf, 100)).select("bin", "cluster", F.round("smooth", 6).alias("smooth"))
+    return _smoothed(spark, sf, 100).select("bin", "cluster", F.round("smooth", 6).alias("smooth"))
 
 
 @query()
 def mad_bins(spark, sf):
-    return O.mad_bins(O.smoothed(_features(spark, sf, 100)), 2.0).select("bin", "cluster", "bad")
+    return O.mad_bins(_smoothed(spark, sf, 100), 2.0).select("bin", "cluster", "bad")
 
 
 @query()
@@ -299,4 +305,4 @@ def qc_summary(spark, sf):
 def mad_contribution(spark, sf):
     from .batch import mad_contribution as contribution
 
-    return contribution(O.mad_bins(O.smoothed(_features(spark, sf, 100)), 2.0))
+    return contribution(O.mad_bins(_smoothed(spark, sf, 100), 2.0))

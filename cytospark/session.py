@@ -3,10 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, a temporary one only where that is unset (local sessions)."""
+    if place := spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
+        return place
+    if not (place := getattr(spark, "_own_checkpoint_dir", None)):
+        place = spark._own_checkpoint_dir = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+    return place
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: several readers share one computation, and a lost executor costs a re-read."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

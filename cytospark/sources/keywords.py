@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
 from ..errors import FormatError
 
 #: Keywords that must be present, by version.
-_BASE = ("$BEGINDATA", "$ENDDATA", "$BYTEORD", "$DATATYPE", "$MODE", "$NEXTDATA", "$PAR", "$TOT")
-_TEXT = ("$BEGINANALYSIS", "$ENDANALYSIS", "$BEGINSTEXT", "$ENDSTEXT")
 REQUIRED = {
-    "FCS1.0": (), "FCS2.0": ("$BYTEORD", "$DATATYPE", "$MODE", "$NEXTDATA", "$PAR"),
-    "FCS3.0": _BASE + _TEXT, "FCS3.1": _BASE + _TEXT,
-    "FCS3.2": tuple(k for k in _BASE if k != "$MODE") + ("$CYT",),
-    "FCS4.0": ("$BEGINDATA", "$ENDDATA", "$BYTEORD", "$DATATYPE", "$NEXTDATA", "$PAR", "$TOT", "$CYT", "$BEGINSTEXT", "$ENDSTEXT", "$DATE"),
-}
+    "FCS1.0": (),
+    "FCS2.0": ("$BYTEORD", "$DATATYPE", "$MODE", "$NEXTDATA", "$PAR"),
+    "FCS3.0": ("$BEGINANALYSIS", "$BEGINDATA", "$BEGINSTEXT", "$BYTEORD", "$DATATYPE", "$ENDANALYSIS", "$ENDDATA", "$ENDSTEXT", "$MODE", "$NEXTDATA", "$PAR", "$TOT"),
+    "FCS3.1": ("$BEGINANALYSIS", "$BEGINDATA", "$BEGINSTEXT", "$BYTEORD", "$DATATYPE", "$ENDANALYSIS", "$ENDDATA", "$ENDSTEXT", "$MODE", "$NEXTDATA", "$PAR", "$TOT"),
+    "FCS3.2": ("$BEGINDATA", "$BYTEORD", "$CYT", "$DATATYPE", "$ENDDATA", "$NEXTDATA", "$PAR", "$TOT"),
+    "FCS4.0": ("$BEGINDATA", "$BYTEORD", "$DATATYPE", "$ENDDATA", "$NEXTDATA", "$PAR", "$DATE", "$ETIM", "$CYT", "$BTIM", "$TOT"),
+}
 
 INTEGERS = {"$PAR", "$TOT", "$BEGINDATA", "$ENDDATA", "$BEGINANALYSIS", "$ENDANALYSIS", "$BEGINSTEXT", "$ENDSTEXT", "$NEXTDATA", "$ABRT", "$LOST", "$CSMODE", "$CSBITS"}
 BYTES = {"$BYTEORD", "$DATATYPE"}
@@ -115,6 +116,29 @@ def missing(version: str, keywords) -> list[str]:
     return [k for k in REQUIRED[version] if k not in keywords]
 
 
+def is_uuid4(value: str) -> bool:
+    try:
+        return uuid.UUID(value).version == 4
+    except ValueError:
+        return False
+
+
+def as_json(keywords: dict[str, str]) -> str:
+    """All keywords as one JSON object; an error for a file without any."""
+    if not keywords:
+        raise FormatError("no keywords")
+    return json.dumps(keywords, sort_keys=True, ensure_ascii=False)
+
+
+def with_parameter(keywords: dict[str, str], name: str, label: str | None = None, bits: int = 32, most: float = 262144) -> dict[str, str]:
+    """The keywords of a file that has one more parameter at the end."""
+    if any(p["name"] == name for p in parameters(keywords)):
+        raise FormatError(f"parameter {name!r} exists")
+    n = int(keywords["$PAR"]) + 1
+    own = {f"$P{n}N": name, f"$P{n}B": str(bits), f"$P{n}R": f"{most:g}", f"$P{n}E": "0,0"} | ({f"$P{n}S": label} if label else {})
+    return keywords | {"$PAR": str(n)} | own
+
+
 def guid(keywords: dict[str, str]) -> str:
     """The file's GUID, whichever key it stands under; a new one if it has none."""
     return keywords.get("GUID") or keywords.get("$GUID") or str(uuid.uuid4())

@@ -77,6 +77,90 @@ def test_round_trip(spark, tmp_path):
     assert [r["transform"] for r in par.where("file_id = 'f1'").orderBy("number").collect()] == ["linear", "arcsinh"]
 
 
+def test_equal_names_in_two_folders(spark, tmp_path):
+    """Files stay apart, and the writer gives each its place again."""
+    for k, folder in enumerate(("a", "b")):
+        (tmp_path / folder).mkdir()
+        make(tmp_path / folder, ["f4"] * 2, rows=5 + k)
+    fcs.register(spark)
+    df = spark.read.format("fcs").load(str(tmp_path))
+    assert {r["file_id"]: r["count"] for r in df.groupBy("file_id").count().collect()} == {"a/x": 5, "b/x": 6}
+    fcs.by_file(df).write.format("fcs").mode("append").save(str(tmp_path / "out"))
+    back = spark.read.format("fcs").load(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.where("file_id in ('a/x', 'b/x')").collect()))
+    binary = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path / "out"))
+    assert {r[0] for r in fcs.events_from_binary(binary, ["C1-A", "C2-A"], str(tmp_path / "out")).select("file_id").collect()} == {"a/x", "b/x"}
+    kw, _ = fcs.catalogue(spark, str(tmp_path / "out"), a_task=1)
+    assert {r["file_id"]: r["value"] for r in kw.where("key = '$TOT'").collect()} == {"a/x": "5", "b/x": "6"}
+
+
+def test_large_files_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    make(tmp_path, ["f4"] * 3, rows=1000)
+    monkeypatch.setattr(fcs, "SPLIT", 2000)
+    parts = fcs.Reader(str(tmp_path), ["C1-A", "C2-A", "C3-A"]).partitions()
+    got = [i for p in parts for b in fcs.Reader(str(tmp_path), ["C1-A", "C2-A", "C3-A"]).read(p) for i in b.column(1).to_pylist()]
+    assert len(parts) > 5 and got == list(range(1000))
+
+
+def test_failed_writes_leave_nothing(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    fcs.register(spark)
+    df = spark.range(100).selectExpr("'f' || id div 50 as file_id", "id % 50 as event_idx", "cast(id as float) as `FL1-A`")
+    bad = df.withColumn("FL1-A", F.when(F.col("file_id") == "f1", F.raise_error(F.lit("no"))).otherwise(F.col("FL1-A")).cast("float"))
+    with pytest.raises(Exception):  # noqa: B017
+        fcs.by_file(bad).write.format("fcs").mode("append").save(str(tmp_path / "out"))
+    split = df.where("file_id = 'f0'").repartition(3, "event_idx")
+    with pytest.raises(Exception):  # noqa: B017
+        split.write.format("fcs").mode("append").save(str(tmp_path / "out"))
+    assert not list((tmp_path / "out").rglob("*.fcs"))
+
+
+def test_required_keywords():
+    def lacking(version):
+        return K.missing(version, {})
+
+    assert [len(lacking(v)) for v in ("FCS1.0", "FCS2.0", "FCS3.0", "FCS3.1", "FCS3.2", "FCS4.0")] == [0, 5, 12, 12, 8, 11]
+    assert {"$BTIM", "$ETIM", "$DATE", "$CYT"} <= set(lacking("FCS4.0")) and not {"$BEGINSTEXT", "$ENDSTEXT", "$MODE"} & set(lacking("FCS4.0"))
+    assert "$MODE" not in lacking("FCS3.2") and "$MODE" in lacking("FCS3.0")
+
+
+def test_copy_add_column_and_json(tmp_path):
+    import json
+
+    path, cols = make(tmp_path, ["f4"] * 2)
+    fcs.copy(str(path), str(tmp_path / "y.fcs"))
+    assert (tmp_path / "y.fcs").read_bytes() == path.read_bytes()
+    fcs.add_column(str(path), str(tmp_path / "z.fcs"), "QC", np.arange(7) % 2, "quality")
+    at = fcs.open_layout(str(tmp_path / "z.fcs"))
+    raw = (tmp_path / "z.fcs").read_bytes()[at.start :]
+    assert at.names == ["C1-A", "C2-A", "QC"] and at.keywords["$PAR"] == "3" and at.keywords["$P3S"] == "quality"
+    np.testing.assert_allclose(fcs.decode(raw, at.row), [*cols, np.arange(7) % 2])
+    with pytest.raises(FormatError):
+        fcs.add_column(str(path), str(tmp_path / "z.fcs"), "C1-A", np.zeros(7))
+    assert json.loads(K.as_json(at.keywords)) == at.keywords and K.is_uuid4("9a4ff0a5-7a1c-4f5e-8d2c-0a1b2c3d4e5f") and not K.is_uuid4("x")
+    with pytest.raises(FormatError):
+        K.as_json({})
+    big = fcs.encode(["A"], [np.arange(5)], order=">")
+    at = fcs.layout(lambda s, n: big[s : s + n], len(big))
+    assert at.row[0].byteorder == ">" and list(fcs.decode(big[at.start :], at.row)[0]) == [0, 1, 2, 3, 4]
+
+
+def test_each_file_by_its_own_matrix(spark):
+    from cytospark.operators.compensation import compensate, compensate_files, default_biexponential
+
+    rows = [(f, i, float(i + 1), float(2 * i), float(i)) for f in ("one", "two", "none") for i in range(4)]
+    df = spark.createDataFrame(rows, "file_id string, event_idx long, A double, B double, C double")
+    texts = {"one": "2,A,B,1,0.1,0.15,1", "two": "2,C,A,1,0.3,0,1"}
+    kw = spark.createDataFrame([(f, "$SPILLOVER", v) for f, v in texts.items()] + [("none", "$TOT", "4")], "file_id string, key string, value string")
+    got = {(r["file_id"], r["event_idx"]): (r["A"], r["B"], r["C"]) for r in compensate_files(df, kw, ["A", "B", "C"]).collect()}
+    want = [("none", ["A"], [[1.0]]), ("one", ["A", "B"], [[1, 0.1], [0.15, 1]]), ("two", ["C", "A"], [[1, 0.3], [0, 1]])]
+    for f, names, m in want:
+        for r in compensate(df.where(f"file_id = '{f}'"), m, names).collect():
+            assert np.allclose(got[f, r["event_idx"]], (r["A"], r["B"], r["C"]))
+    assert default_biexponential(df.select("A", "B")).first()["B"] == 0
+
+
 def test_edit_keywords(tmp_path):
     path, _ = make(tmp_path, ["f4"] * 2)
     fcs.edit_keywords(str(path), lambda k: k | {"$FIL": "a|b"})
