@@ -114,6 +114,20 @@ def from_pixel(p: Column, scale, low: float, high: float, area: tuple[float, flo
     return scale.inverse(F.lit(low) + n * F.lit(high - low))
 
 
+def nice_bounds(low: Column, high: Column) -> tuple[Column, Column]:
+    """Bounds on multiples of the largest power of ten within the range; half a unit around a single value; 0..1 where a
+    bound is not a number."""
+    step = F.pow(F.lit(10.0), F.floor(F.log10(high - low)))
+    bad = F.isnan(low) | F.isnan(high) | (F.abs(low) == float("inf")) | (F.abs(high) == float("inf"))
+    pick = lambda none, one, many: F.when(bad, F.lit(none)).when(high == low, one).otherwise(many)
+    return pick(0.0, low - 0.5, F.floor(low / step) * step), pick(1.0, high + 0.5, F.ceil(high / step) * step)
+
+
+def axis_spec(scale, low: Column, high: Column) -> tuple[Column, Column]:
+    """An axis of transformed bounds: nice ones on a linear scale, as they are on others."""
+    return nice_bounds(low, high) if isinstance(scale, Linear) else (low, high)
+
+
 def nice_number(x: Column, up: bool = True) -> Column:
     """The nearest 1, 2, 5, 10 (up) or 0.5, 1, 2, 5 (down) times a power of ten that holds |x|; the sign stays, 0 is 0."""
     power = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))))

@@ -1,10 +1,15 @@
-"""Gate hierarchies (forests of ids) and link counts; gates are few, so these live on the driver."""
+"""Gate hierarchies (forests of ids) and link counts: in memory for the gates of a file, as tables for those of many."""
 
 from __future__ import annotations
 
 from collections import Counter, deque
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import GateError
+from ..session import written
 
 
 class Hierarchy:
@@ -115,6 +120,46 @@ class Hierarchy:
     def edges(self) -> list[tuple[str, str]]:
         return sorted((p, c) for c, p in self.up.items())
 
+    def validate(self) -> None:
+        """An error if there is a cycle, or if parents and children contradict one another."""
+        if len(self.topological()) != len(self.nodes()):
+            raise GateError("the hierarchy has a cycle")
+        for p, below in self.down.items():
+            if bad := [c for c in below if self.up.get(c) != p]:
+                raise GateError(f"{bad[0]!r} is a child of {p!r}, but its parent is {self.up.get(bad[0])!r}")
+        if bad := [c for c, p in self.up.items() if c not in self.down.get(p, ())]:
+            raise GateError(f"{bad[0]!r} is no child of its parent")
+
+
+def ancestor_table(edges: DataFrame) -> DataFrame:
+    """(gate, ancestor, depth) of a forest kept as a table of (parent, child): one equi-join a level, as deep as the forest.
+
+    A cycle is an error: no chain is longer than there are edges.
+    """
+    edges = written(edges.select("parent", "child"), "edges")
+    level = edges.select(F.col("child").alias("gate"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    out, most = [level], edges.count()
+    while len(out) <= most:
+        k = len(out) + 1
+        level = written(level.join(edges, F.col("ancestor") == F.col("child")).select("gate", F.col("parent").alias("ancestor"), F.lit(k).alias("depth")), f"level-{k}")
+        if level.isEmpty():
+            return reduce(DataFrame.unionAll, out)
+        out.append(level)
+    if most:
+        raise GateError("the hierarchy has a cycle")
+    return level
+
+
+def restricted_table(edges: DataFrame, keep: DataFrame) -> DataFrame:
+    """The edges whose two ends are both in keep (gate): two semi-joins."""
+    ends = lambda c: keep.select(F.col("gate").alias(c))
+    return edges.join(ends("child"), "child", "left_semi").join(ends("parent"), "parent", "left_semi").select("parent", "child")
+
+
+def link_table(links: DataFrame) -> DataFrame:
+    """(target, links): how many links each gate has; a repeated link counts again. links: target, source."""
+    return links.groupBy("target").agg(F.count(F.lit(1)).alias("links"))
+
 
 class Links:
     """Which gates link to a gate; a repeated link counts again."""

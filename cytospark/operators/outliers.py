@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import QcError
 from ..session import ship
 
 EULER = 0.5772156649
@@ -63,20 +64,50 @@ def isolation_tree(x: np.ndarray, limit: float = 0.6) -> np.ndarray:
     return out
 
 
-def smoothing_spline(y: np.ndarray, spar: float = 0.5) -> np.ndarray:
-    """Cubic smoothing spline at x = 1..n that minimises p sum (y - f)^2 + (1 - p) integral f''^2, p = 1 - spar in [0, 1]."""
+def smoothing_spline(y: np.ndarray, spar: float = 0.5, x: np.ndarray | None = None, weights: np.ndarray | None = None) -> np.ndarray:
+    """Cubic smoothing spline that minimises p sum w (y - f)^2 + (1 - p) integral f''^2, p = 1 - spar in [0, 1], at x
+    (1..n unless given, in any order). Equal x are one point: their mean, weighing as much as all of them; under three
+    points nothing is smoothed."""
+    if x is None:
+        if weights is None:
+            return _spline(np.asarray(y, float), spar)
+        x = np.arange(len(y), dtype=float)
+    y, x = np.asarray(y, float), np.asarray(x, float)
+    if len(x) != len(y):
+        raise QcError(f"{len(x)} places for {len(y)} values")
+    w = np.ones(len(y)) if weights is None else np.asarray(weights, float)
+    order = np.argsort(x, kind="stable")
+    new = np.append(True, np.diff(x[order]) >= 1e-10)
+    point = np.cumsum(new) - 1
+    total = np.bincount(point, w[order])
+    mean = np.bincount(point, (w * y)[order]) / total
+    if len(total) < 3:
+        return y.copy()
+    out = np.empty(len(y))
+    out[order] = _spline(mean, spar, np.diff(x[order][new]), total)[point]
+    return out
+
+
+def _spline(y: np.ndarray, spar: float, h: np.ndarray | None = None, w: np.ndarray | None = None) -> np.ndarray:
+    """The spline at points h apart, by weights w (both 1 unless given)."""
     n = len(y)
     p = 1.0 if spar <= 0 else 0.0 if spar >= 1 else 1 - spar
     if n < 3 or p == 1:
         return y.copy()
+    h, w = np.ones(n - 1) if h is None else h, np.ones(n) if w is None else w
     if p == 0:
-        return np.polyval(np.polyfit(np.arange(n), y, 1), np.arange(n))
+        x = np.append(0, np.cumsum(h))
+        return np.polyval(np.polyfit(x, y, 1, w=np.sqrt(w)), x)
     lam = (1 - p) / p
-    # (R + lam Q'Q) g = Q'y is banded with two off-diagonals: solved by banded Cholesky in O(n)
+    # (R + lam Q' W^-1 Q) g = Q'y is banded with two off-diagonals: solved by banded Cholesky in O(n)
     m = n - 2
+    q0, q2 = 1 / h[:-1], 1 / h[1:]
+    q1 = -q0 - q2
     d = np.zeros((3, m))
-    d[0], d[1, 1:], d[2, 2:] = 2 / 3 + 6 * lam, 1 / 6 - 4 * lam, lam
-    rhs = y[:-2] - 2 * y[1:-1] + y[2:]
+    d[0] = (h[:-1] + h[1:]) / 3 + lam * (q0**2 / w[:-2] + q1**2 / w[1:-1] + q2**2 / w[2:])
+    d[1, 1:] = h[1:-1] / 6 + lam * (q1[:-1] * q0[1:] / w[1:-2] + q2[:-1] * q1[1:] / w[2:-1])
+    d[2, 2:] = lam * q2[:-2] * q0[2:] / w[2:-2]
+    rhs = q0 * y[:-2] + q1 * y[1:-1] + q2 * y[2:]
     low = np.zeros((3, m))
     z = np.zeros(m)
     for i in range(m):
@@ -88,11 +119,11 @@ def smoothing_spline(y: np.ndarray, spar: float = 0.5) -> np.ndarray:
     for i in range(m - 1, -1, -1):
         t = z[i] - (low[1, i + 1] * g[i + 1] if i + 1 < m else 0) - (low[2, i + 2] * g[i + 2] if i + 2 < m else 0)
         g[i] = t / low[0, i]
-    out = y.astype(float).copy()
-    out[:-2] -= lam * g
-    out[1:-1] += 2 * lam * g
-    out[2:] -= lam * g
-    return out
+    bent = np.zeros(n)
+    bent[:-2] += q0 * g
+    bent[1:-1] += q1 * g
+    bent[2:] += q2 * g
+    return y - lam * bent / w
 
 
 def mad_outliers(y: np.ndarray, threshold: float = 6.0, spar: float = 0.5) -> np.ndarray:
@@ -106,7 +137,8 @@ def mad_outliers(y: np.ndarray, threshold: float = 6.0, spar: float = 0.5) -> np
 
 
 def tree_bins(features: DataFrame, limit: float = 0.6, force: int = 150, *by: str) -> DataFrame:
-    """by, bin, bad: bins outside the largest leaf; groups of under force bins have none. features: by, bin, channel,
+    """by, bin, bad: bins outside the largest leaf. Groups of under force bins have none bad (``tree_skipped`` names them:
+    the tree says nothing there), and groups without peaks have no features. features: by, bin, channel,
     cluster, value. A file's matrix is bins by clusters (at most about a thousand by a hundred)."""
     keys = list(by)
 
@@ -120,6 +152,17 @@ def tree_bins(features: DataFrame, limit: float = 0.6, force: int = 150, *by: st
     return features.groupBy(*keys).applyInPandas(run, "".join(f"`{k}` {types[k]}, " for k in keys) + "bin int, bad boolean")
 
 
+def tree_skipped(n_bins: DataFrame, features: DataFrame, force: int = 150, *by: str) -> DataFrame:
+    """by, reason: the files that the tree cannot judge: "bins" (under force), "peaks" (no features). n_bins: by, n_bins."""
+    some = features.select(*by).distinct() if by else features.limit(1).select(F.lit(True).alias("some_"))
+    few = F.when(F.col("n_bins") < force, "bins")
+    if by:
+        seen = n_bins.join(some.withColumn("some_", F.lit(True)), list(by), "left")
+    else:
+        seen = n_bins.join(some, F.lit(True), "left")  # one row
+    return seen.select(*by, F.when(F.col("some_").isNull(), "peaks").otherwise(few).alias("reason")).where("reason is not null")
+
+
 def smoothed(features: DataFrame, spar: float = 0.5, *by: str) -> DataFrame:
     """features with smooth: each trajectory (by, channel, cluster) over its bins."""
     keys = [*by, "channel", "cluster"]

@@ -12,6 +12,17 @@ def channel_summary(df: DataFrame, channel: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"))
 
 
+def min_max(df: DataFrame, channel: str, *by: str) -> DataFrame:
+    """by, min, max of the groups of more than one value."""
+    c = F.col(f"`{channel}`")
+    return df.groupBy(*by).agg(F.min(c).alias("min"), F.max(c).alias("max"), F.count(F.lit(1)).alias("n_")).where("n_ > 1").drop("n_")
+
+
+def shape(df: DataFrame, channels: int, *by: str) -> DataFrame:
+    """by, rows, columns."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(channels))
+
+
 def parameter_aggregates(v: Column, prefix: str = "") -> list[Column]:
     """mean, geometric mean (null unless all are positive), median, quartiles, population std, cv, min, max."""
     mean, sd = F.avg(v), F.stddev_pop(v)

@@ -14,6 +14,7 @@ from ..operators import compensation as C
 from ..operators import events as E
 from ..operators import exports as X
 from ..operators import outliers as O
+from ..session import written
 from .control import Config, bin_verdicts, quality_control, sized
 
 
@@ -79,16 +80,75 @@ def mad_contribution(bad: DataFrame, *by: str) -> DataFrame:
     return per.groupBy(*by, "channel").agg(F.sum("percent").alias("percent"))
 
 
+def bin_report(events: DataFrame, bins: DataFrame, per_bin: int, time: str | None = None, *by: str) -> DataFrame:
+    """One row a bin: its first event and the one after its last, time span and rate where there is a time, which steps
+    flagged it, and whether it is an outlier. bins: by, bin, tree, mad, bad."""
+    x = B.assign(events, per_bin)
+    span = x.groupBy(*by, "bin").agg(F.min("event_idx").alias("start"), (F.max("event_idx") + 1).alias("end"), *([F.min_by(time, "event_idx").alias("start_time"), F.max_by(time, "event_idx").alias("end_time")] if time else []))
+    n = F.col("end") - F.col("start")
+    out = span.join(bins.select(*by, "bin", "tree", "mad", "bad"), [*by, "bin"])
+    rate = {"rate": F.when((n >= 2) & (F.col("end_time") > F.col("start_time")), n / (F.col("end_time") - F.col("start_time")))} if time else {}
+    return out.withColumns({"n": n, **rate, "consecutive": F.col("bad") & ~F.col("tree") & ~F.col("mad")}).withColumnRenamed("bad", "outlier")
+
+
+def rate_correlation(report: DataFrame, *by: str) -> DataFrame:
+    """by, r: correlation of a bin's rate with its being an outlier; null where either does not vary."""
+    return report.where("rate is not null").groupBy(*by).agg(F.corr("rate", F.col("outlier").cast("double")).alias("r"))
+
+
+def metadata(summary_: DataFrame, config: Config) -> DataFrame:
+    """The summary's rows as reports: counts, percentages by step, channels and configuration (null steps: not run)."""
+    c = config
+    steps = {"tree_percent": c.mode in ("all", "tree"), "mad_percent": c.mode in ("all", "mad")}
+    removed = F.round(F.col("n_events") * F.col("removed_percent") / 100).cast("long")
+    used = F.struct(F.lit(c.mode).alias("qc_mode"), F.lit(float(c.mad)).alias("mad"), F.lit(float(c.tree_limit)).alias("it_limit"), F.lit(c.consecutive).alias("consecutive_bins"), F.lit(c.remove_zeros).alias("remove_zeros"))
+    return summary_.select(
+        *config.by, F.col("n_events").alias("n_events_before"), (F.col("n_events") - removed).alias("n_events_after"), removed.alias("n_events_removed"),
+        F.col("removed_percent").alias("percentage_removed"), *(F.when(F.lit(on), F.col(k)).alias({"tree_percent": "it_percentage"}.get(k, "mad_percentage")) for k, on in steps.items()),
+        F.col("consecutive_percent").alias("consecutive_percentage"), "n_bins", "events_per_bin", F.array(*map(F.lit, c.channels)).alias("channels_analyzed"), used.alias("config"),
+    )
+
+
+def write_reports(reports: DataFrame, path: str, per_file: bool = True) -> None:
+    """JSON: a folder for each file (file_id=...), or one document with totals and all files' reports."""
+    if per_file:
+        X.as_json(reports, "file_id").write.mode("overwrite").partitionBy("file_id").text(path)
+        return
+    failed = F.count_if(F.col("error").isNotNull()) if "error" in reports.columns else F.lit(0).cast("long")
+    n = F.count(F.lit(1))
+    whole = reports.agg(n.alias("total_files"), (n - failed).alias("successful"), failed.alias("failed"), F.sort_array(F.collect_list(F.struct(*reports.columns))).alias("results"))  # a row a file
+    X.as_json(whole).write.mode("overwrite").text(path)
+
+
 def report(cleaned: DataFrame, job: Job, n_bins: int, per_bin: int) -> DataFrame:
     return X.report(cleaned, n_bins, per_bin, list(job.channels or ()), "file_id")
 
 
 def grid(n: int) -> tuple[int, int]:
-    """Rows and columns of a sheet of n panels, grown in turn from 1 x 1."""
+    """Rows and columns of a sheet of n panels, grown in turn from 1 x 1, rows first."""
     rows = cols = 1
     while rows * cols < n:
-        if cols <= rows:
-            cols += 1
-        else:
+        if rows == cols:
             rows += 1
+        else:
+            cols += 1
     return rows, cols
+
+
+def time_panel(events: DataFrame, time: str, per_bin: int, *by: str) -> DataFrame:
+    """Panel of event rates: by, bin, mid (time), rate, and whether all the bin's events are good (events: with good)."""
+    x = B.assign(events, per_bin)
+    rates = B.bin_rates(x, time, "bin", "event_idx", *by)
+    good = x.groupBy(*by, "bin").agg(F.bool_and("good").alias("good"))
+    return rates.join(good, [*by, "bin"]).select(*by, "bin", "mid", "rate", "good")
+
+
+def channel_panel(features: DataFrame, threshold: float = 6.0, *by: str) -> DataFrame:
+    """Panels of channels: each trajectory's value and spline by bin, its median and the band of threshold scaled MADs."""
+    keys = [*by, "channel", "cluster"]
+    smooth = written(O.smoothed(features, 0.5, *by), "panel")
+    med = smooth.groupBy(*keys).agg(F.median("smooth").alias("median"))
+    x = smooth.join(med, keys)
+    mad = x.groupBy(*keys).agg((F.median(F.abs(F.col("smooth") - F.col("median"))) * F.lit(O.MAD_SCALE)).alias("mad"))
+    low, high = F.col("median") - threshold * F.col("mad"), F.col("median") + threshold * F.col("mad")
+    return x.join(mad, keys).select(*keys, "bin", "value", "smooth", "median", low.alias("low"), high.alias("high"))

@@ -14,6 +14,7 @@ from ..operators import compensation as C
 from ..operators import events as E
 from ..operators import exports as X
 from ..operators import gates as G
+from ..operators import hierarchy as H
 from ..operators import outliers as O
 from ..operators import raster as R
 from ..operators import stats as S
@@ -322,14 +323,7 @@ def _edge_view(spark, sf) -> DataFrame:
 @query(f"""with recursive {_edges}, up as (select child as gate, parent as ancestor, 1 as depth from edges
     union all select up.gate, e.parent, depth + 1 from up join edges e on e.child = up.ancestor) select gate, ancestor, depth from up""")
 def hier_ancestors(spark, sf):
-    """A gate forest kept as an edge table: one equi-join a level, as deep as the forest."""
-    edges = _edge_view(spark, sf)
-    level = edges.select(F.col("child").alias("gate"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    out = [level]
-    for k in range(2, 4):
-        level = level.join(edges, F.col("ancestor") == F.col("child")).select("gate", F.col("parent").alias("ancestor"), F.lit(k).alias("depth"))
-        out.append(level)
-    return E.concatenate(out)
+    return H.ancestor_table(_edge_view(spark, sf))
 
 
 @query(f"""with recursive {_edges}, down as (select parent as gate, child as descendant from edges
@@ -340,16 +334,14 @@ def hier_descendants(spark, sf):
 
 @query("select n_nationkey, r_regionkey from nation join region on n_regionkey = r_regionkey where n_nationkey % 2 = 0 and r_regionkey in (0, 1, 2)")
 def hier_filter(spark, sf):
-    """Edges whose two ends are both kept: two semi-joins."""
-    n = read(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
-    gates = n.where("n_nationkey % 2 = 0").select("n_nationkey")
-    roots = read(spark, sf, "region").where("r_regionkey in (0, 1, 2)").select("r_regionkey")
-    return n.join(gates, "n_nationkey", "left_semi").join(roots, "r_regionkey", "left_semi").select("n_nationkey", "r_regionkey")
+    n = read(spark, sf, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("child"), "n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
+    keep = n.where("n_nationkey % 2 = 0").select(F.col("child").alias("gate")).unionAll(read(spark, sf, "region").where("r_regionkey in (0, 1, 2)").select(F.concat(F.lit("r"), "r_regionkey")))
+    return H.restricted_table(n, keep).join(n, ["parent", "child"]).select("n_nationkey", "r_regionkey")
 
 
 @query("select c_nationkey as target, count(*) as links from customer group by c_nationkey")
 def link_counts(spark, sf):
-    return read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("target")).agg(F.count(F.lit(1)).alias("links"))
+    return H.link_table(read(spark, sf, "customer").select(F.col("c_nationkey").alias("target"), F.col("c_custkey").alias("source")))
 
 
 @query("select event_id as event_idx, value from events where event_type = 'click' or value > 50")
@@ -381,7 +373,7 @@ def stats_channel(spark, sf):
 
 @query("select l_returnflag as file, min(l_tax) as min, max(l_tax) as max from lineitem group by 1 having count(*) > 1")
 def stats_minmax(spark, sf):
-    return items(spark, sf).groupBy("file").agg(F.min("t").alias("min"), F.max("t").alias("max"), F.count(F.lit(1)).alias("n_")).where("n_ > 1").drop("n_")
+    return S.min_max(items(spark, sf), "t", "file")
 
 
 def _stat_sql(v: str, prefix: str) -> str:
@@ -456,6 +448,30 @@ def doublets(spark, sf):
     return df.where("single").groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("ratio"), 4).alias("top"))
 
 
+_by_file = _margin.replace("over ()", "over (partition by file)")
+
+
+@query(f"with {ITEMS}, {_by_file} select file, q, p, d, t from m where not (qa or qb or pa or pb or da or db)")
+def margins_by_file(spark, sf):
+    df, _ = O.margins(items(spark, sf), RANGES, "file")
+    return df.where("not in_margin").select("file", "q", "p", "d", "t")
+
+
+@query(f"""with {ITEMS}, r as (select *, p / (1e-10 + q + 0) as ratio from i), s as (select file, median(ratio) as mid, mad(ratio) as dev from r group by file)
+    select file, count(*) as n, round(max(ratio), 4) as top from r join s using (file) where ratio < mid + 1.5 * 1.4826 * dev group by file""")
+def doublets_by_file(spark, sf):
+    df = O.doublets(items(spark, sf), "p", "q", "file", nmad=1.5)
+    return df.where("single").groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("ratio"), 4).alias("top"))
+
+
+@query("""with b as (select event_type as file, min(value) as lo, max(value) as hi from events group by 1), s as (select *, pow(10.0, floor(log10(hi - lo))) as step from b)
+    select file, case when hi = lo then lo - 0.5 else floor(lo / step) * step end as low, case when hi = lo then hi + 0.5 else ceil(hi / step) * step end as high from s""")
+def axis_specs(spark, sf):
+    b = S.min_max(events(spark, sf), "value", "file")
+    low, high = R.axis_spec(Linear(), F.col("min"), F.col("max"))
+    return b.select("file", low.alias("low"), high.alias("high"))
+
+
 # --- rasters ----------------------------------------------------------------------------------------------------------
 
 XR, YR = (0.0, 50.0), (0.0, 80000.0)
@@ -492,10 +508,21 @@ def axis_range(spark, sf):
     return b.select("file", low.alias("low"), high.alias("high"))
 
 
-@query()
+_corner = lambda i: "list_value(" + ", ".join(f"{c[i]}" for c in R.GRADIENT) + ")"
+_mix = lambda i: f"round({_corner(i)}[k + 1] * (1 - (v * 4 - k)) + {_corner(i)}[k + 2] * (v * 4 - k))::int"
+
+
+@query(f"""with {ITEMS}, c as (select file, {_px}, count(*) as n from i group by 1, 2, 3), m as (select file, greatest(1.0, max(log10(n + 1))) as top from c group by file),
+    d as (select file, px, py, log10(n + 1) / top as v, least(3, floor(log10(n + 1) / top * 4))::int as k from c join m using (file)),
+    h as (select file, px, py, printf('%02X%02X%02X', {_mix(0)}, {_mix(1)}, {_mix(2)}) as rgb from d),
+    b as (select file, min(px) as x0, min(py) as y0, max(px) as x1, max(py) as y1 from c group by file),
+    g as (select file, x, y from (select *, unnest(range(y0, y1 + 1)) as y from (select *, unnest(range(x0, x1 + 1)) as x from b))),
+    t as (select g.file, string_agg(coalesce(rgb, '000000'), '' order by y, x) as body from g left join h on g.file = h.file and x = px and y = py group by g.file)
+    select file, printf('%02X%02X0000%02X%02X0000%02X%02X0000%02X%02X0000', (x0 % 256)::int, (x0 // 256)::int, (y0 % 256)::int, (y0 // 256)::int, (x1 % 256)::int, (x1 // 256)::int, (y1 % 256)::int, (y1 // 256)::int) || body as chunk
+    from t join b using (file)""")
 def raster_chunks(spark, sf):
     df = R.log_density(R.counts(items(spark, sf), "q", "p", XR, YR, 400, 400, "file"), "file")
-    return R.packed(df.withColumn("rgb", R.colour(F.col("density"))), "file")
+    return R.packed(df.withColumn("rgb", R.colour(F.col("density"))), "file").select("file", F.hex("chunk").alias("chunk"))
 
 
 # --- parsing ----------------------------------------------------------------------------------------------------------

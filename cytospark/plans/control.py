@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import QcError
 from ..operators import bins as B
+from ..operators import events as E
 from ..operators import outliers as O
 from ..operators import peaks as K
 from ..operators import trend as T
@@ -101,8 +102,16 @@ def quality_control(df: DataFrame, config: Config) -> DataFrame:
 
 # --- queries ----------------------------------------------------------------------------------------------------------
 
-PER, STEP = 500, 250
-BINS = f"b as (select unnest(range(0, (select (count(*) + {STEP - 1}) // {STEP} from e))) as bin), x as (select bin, e.* from e join b on event_idx >= bin * {STEP} and event_idx < bin * {STEP} + {PER})"
+PER = 500
+
+
+def bins_sql(per: int) -> str:
+    """b: the bins of per events, half overlapping; x: events by bin."""
+    step = per // 2
+    return f"b as (select unnest(range(0, (select (count(*) + {step - 1}) // {step} from e))) as bin), x as (select bin, e.* from e join b on event_idx >= bin * {step} and event_idx < bin * {step} + {per})"
+
+
+BINS = bins_sql(PER)
 KDE = """s as (select bin, count(*) as n, min(value) as mn, max(value) as mx, stddev_pop(value) as sd from x group by bin),
   r as (select bin, value, row_number() over (partition by bin order by value) - 1 as k from x),
   q as (select r.bin, max(value) filter (k = 3 * n // 4) - max(value) filter (k = n // 4) as iqr from r join s using (bin) group by r.bin),
@@ -126,6 +135,46 @@ CLUSTER = """per as (select bin, count(*) as k from peaks group by bin), nb as (
 FEATURES = """cm as (select cluster, median(peak_value) as med from kept group by cluster),
   feat as (select b.bin, cm.cluster, coalesce(max(kept.peak_value), any_value(med)) as value from b cross join cm left join kept on kept.bin = b.bin and kept.cluster = cm.cluster group by b.bin, cm.cluster)"""
 CHAIN = f"with {EVENTS}, {BINS}, {KDE}, {CLUSTER}, {FEATURES}"
+FINE = f"with recursive {EVENTS}, {bins_sql(100)}, {KDE}, {CLUSTER}, {FEATURES}"
+#: The banded system of the spline (p = 1/2: penalty 1) solved by recursion: Cholesky downwards, then back upwards.
+SPLINE = """tr as (select cluster, bin, value as y, row_number() over (partition by cluster order by bin) - 1 as i, count(*) over (partition by cluster) as n from feat),
+  rh as (select a.cluster, a.i, a.n - 2 as m, a.y - 2 * b.y + c.y as r from tr a join tr b on b.cluster = a.cluster and b.i = a.i + 1 join tr c on c.cluster = a.cluster and c.i = a.i + 2),
+  fw as (select cluster, i, m, sqrt(2.0 / 3 + 6)::double as l, 0::double as l1, 0::double as a, 0::double as b, r / sqrt(2.0 / 3 + 6)::double as z, 0::double as z1 from rh where i = 0
+    union all select cluster, i, m, sqrt(2.0 / 3 + 6 - na * na - nb * nb), l, na, nb, (r - na * z - nb * z1) / sqrt(2.0 / 3 + 6 - na * na - nb * nb), z
+    from (select rh.cluster, rh.i, rh.m, rh.r, fw.l, fw.z, fw.z1, case when rh.i > 1 then 1 / fw.l1 else 0 end as nb, (1.0 / 6 - 4 - case when rh.i > 1 then 1 / fw.l1 * fw.a else 0 end) / fw.l as na
+      from fw join rh on rh.cluster = fw.cluster and rh.i = fw.i + 1)),
+  bk as (select cluster, i, z / l as g, 0::double as g1 from fw where i = m - 1
+    union all select f.cluster, f.i, (f.z - f1.a * bk.g - coalesce(f2.b, 0) * bk.g1) / f.l, bk.g from bk join fw f on f.cluster = bk.cluster and f.i = bk.i - 1
+      join fw f1 on f1.cluster = f.cluster and f1.i = f.i + 1 left join fw f2 on f2.cluster = f.cluster and f2.i = f.i + 2),
+  sp as (select tr.cluster, tr.bin, tr.n, tr.y - (coalesce(a.g, 0) - 2 * coalesce(b.g, 0) + coalesce(c.g, 0)) as smooth from tr left join bk a on a.cluster = tr.cluster and a.i = tr.i
+    left join bk b on b.cluster = tr.cluster and b.i = tr.i - 1 left join bk c on c.cluster = tr.cluster and c.i = tr.i - 2)"""
+
+
+def far_sql(threshold: float) -> str:
+    return f"""md as (select cluster, median(smooth) as med, mad(smooth) * 1.4826 as dev from sp group by cluster),
+  far as (select cluster, bin, n >= 3 and dev > 0 and abs(smooth - med) > {threshold} * dev as bad from sp join md using (cluster))"""
+
+
+#: The isolation tree node by node: the open node of greatest number is cut where the gain is greatest (last cluster and
+#: last cut on ties), if that reaches every gain accepted before; bins outside the largest leaf (last on ties) are bad.
+TREE = """tree as (select 0 as it, bin, 0 as node, true as open, 0 as depth, 0.6::double as lim, 1 as number, (count(*) over ())::bigint as n from (select distinct bin from feat)
+    union all
+    select it + 1, bin, case when node = pick and ok then case when goes then number else number + 1 end else node end, case when node = pick then ok else open end, depth + (node = pick and ok)::int,
+      case when ok then gain else lim end, case when ok then number + 2 else number end, n
+    from (select p.*, side.goes, best.gain, coalesce(best.gain >= lim and best.m > 3 and best.gone < best.m and best.depth < ceil(log2(n)), false) as ok
+      from (select *, max(case when open then node end) over () as pick from tree) p
+      left join (select c.*, count(*) filter (f.value <= c.v) as gone from
+          (select cluster, v, m, depth, (sd - (lo + hi) / 2) / sd as gain from
+            (select f.cluster, f.value as v, q.depth, row_number() over o as k, count(*) over (partition by f.cluster) as m, stddev_samp(f.value) over (partition by f.cluster) as sd,
+              coalesce(stddev_samp(f.value) over (o rows unbounded preceding), 0) as lo, coalesce(stddev_samp(f.value) over (o rows between 1 following and unbounded following), 0) as hi
+              from (select *, max(case when open then node end) over () as pick from tree) q join feat f on f.bin = q.bin where q.node = q.pick window o as (partition by f.cluster order by f.value, f.bin))
+            where k < m and sd > 0 order by round(gain, 12) desc, cluster desc, k desc limit 1) c
+          join feat f on f.cluster = c.cluster join (select *, max(case when open then node end) over () as pick from tree) q on q.bin = f.bin and q.node = q.pick group by all) best on true
+      left join (select bin, cluster, value from feat) fv on fv.bin = p.bin and fv.cluster = best.cluster
+      left join lateral (select fv.value <= best.v as goes) side on true
+      where p.pick is not null)),
+  leaf as (select bin, node, n, count(*) over (partition by node) as size from tree where it = (select max(it) from tree)),
+  tb as (select bin, n >= 150 and node <> (select node from leaf order by size desc, node desc limit 1) as bad from leaf)"""
 
 
 def _long(spark, sf, per: int = PER) -> DataFrame:
@@ -256,22 +305,30 @@ def avg_path_len(spark, sf):
     return p.select("n", F.round(O.average_path_length(F.col("n")), 6).alias("length"))
 
 
-@query()
+@query(f"{FINE}, {TREE} select bin::int as bin, bad from tb")
 def iso_tree_bins(spark, sf):
     return O.tree_bins(_features(spark, sf, 100), force=150)
 
 
-@query()
+@query(f"{FINE}, {SPLINE} select bin, cluster, round(smooth, 6) as smooth from sp")
 def spline_smooth(spark, sf):
-    return _smoothed(spark, sf, 100).select("bin", "cluster", F.round("smooth", 6).alias("smooth"))
+    return _smoothed(spark, sf, 100).select(F.col("bin").cast("long").alias("bin"), "cluster", F.round("smooth", 6).alias("smooth"))
 
 
-@query()
+@query(f"{FINE}, {SPLINE}, {far_sql(2.0)} select bin, cluster, bad from far")
 def mad_bins(spark, sf):
-    return O.mad_bins(_smoothed(spark, sf, 100), 2.0).select("bin", "cluster", "bad")
+    return O.mad_bins(_smoothed(spark, sf, 100), 2.0).select(F.col("bin").cast("long").alias("bin"), "cluster", "bad")
 
 
-@query()
+#: Verdicts of bins: by the tree, beyond MAD in any cluster of the others, then short runs of good ones.
+VERDICTS = f"""{FINE}, {TREE}, kf as (select feat.* from feat join tb using (bin) where not bad), {SPLINE.replace("from feat", "from kf")}, {far_sql(6.0)},
+  f as (select b.bin, coalesce(any_value(tb.bad), false) as tree, coalesce(bool_or(far.bad), false) as mad from b left join tb on tb.bin = b.bin left join far on far.bin = b.bin group by b.bin),
+  ch as (select *, case when lag(tree or mad) over (order by bin) is not distinct from (tree or mad) then 0 else 1 end as c from f), ru as (select *, sum(c) over (order by bin) as run from ch),
+  le as (select *, count(*) over (partition by run) as len, min(bin) over (partition by run) as b0, max(bin) over (partition by run) as b1, min(bin) over () as m0, max(bin) over () as m1 from ru),
+  sr as (select bin, tree, mad, tree or mad or (len < 5 and b0 > m0 and b1 < m1) as bad from le), ev as (select event_idx, not bool_or(sr.bad) as good from x join sr using (bin) group by event_idx)"""
+
+
+@query(f"{VERDICTS} select event_idx, good from ev")
 def qc_full(spark, sf):
     df = events(spark, sf).select("event_idx", "value", F.col("time").cast("double").alias("time"))
     return quality_control(df, Config(("value",), per_bin=100)).select("event_idx", "good")
@@ -294,15 +351,27 @@ def spearman(spark, sf):
     return rounded(T.spearman(B.bin_medians(events(spark, sf), "value", PER), "bin", "median"))
 
 
-@query()
+@query(f"""{VERDICTS}, pc as (select count(*) as n_bins, count(*) filter (tree) * 100.0 / count(*) as tree_percent, count(*) filter (tree or mad) * 100.0 / count(*) as mad_percent from sr),
+  rm as (select count(*) as n_events, count(*) filter (not good) * 100.0 / count(*) as removed_percent from ev)
+  select n_bins, round(tree_percent, 6) as tree_percent, round(mad_percent, 6) as mad_percent, n_events, round(removed_percent, 6) as removed_percent, 100 as events_per_bin,
+    round(removed_percent - mad_percent, 6) as consecutive_percent from pc, rm""")
 def qc_summary(spark, sf):
     from .batch import summary
 
-    return summary(events(spark, sf).select("event_idx", "value"), Config(("value",), per_bin=100))
+    return rounded(summary(events(spark, sf).select("event_idx", "value"), Config(("value",), per_bin=100)))
+
+
+@query(f"""with {EVENTS}, s as (select file, max(event_idx) + 1 as n from (select file, row_number() over (partition by file order by event_idx) - 1 as event_idx from e) group by file),
+  p as (select *, greatest(150, (ceil(2 * n / 500.0)::bigint // 500) * 500 + 500) as per from s) select file, n, per as events_per_bin, ceil(n / (per // 2))::bigint as n_bins from p""")
+def bin_size_by_file(spark, sf):
+    """Every file has the bins of its own events."""
+    e = E.dense_index(events(spark, sf).select(F.col("event_idx").alias("old"), "file"), "old", "file", cell=4096)
+    n = e.groupBy("file").agg((F.max("event_idx") + 1).alias("n")).withColumn("events_per_bin", B.bin_sizes(F.col("n")))
+    return n.withColumn("n_bins", F.ceil(F.col("n") / B.bin_step(F.col("events_per_bin"))).cast("long"))
 
 
-@query()
+@query(f"{FINE}, {SPLINE}, {far_sql(2.0)}, pr as (select cluster, count(*) filter (bad) * 100.0 / count(*) as percent from far group by cluster) select 'value' as channel, round(sum(percent), 6) as percent from pr")
 def mad_contribution(spark, sf):
     from .batch import mad_contribution as contribution
 
-    return contribution(O.mad_bins(_smoothed(spark, sf, 100), 2.0))
+    return rounded(contribution(O.mad_bins(_smoothed(spark, sf, 100), 2.0)))

@@ -175,3 +175,73 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["n"] for r in spark.table("w").collect()} == {10} and spark.table("w").count() == 5
+
+
+def test_spline_of_weights_and_repeated_places():
+    from cytospark.operators.outliers import smoothing_spline
+
+    rng = np.random.default_rng(1)
+    y = rng.normal(size=40)
+    np.testing.assert_allclose(smoothing_spline(y, 0.5, np.arange(40) * 1.0), smoothing_spline(y))
+    # against the dense normal equations
+    x, w = np.sort(rng.random(25)) * 20, rng.random(25) + 0.5
+    h = np.diff(x)
+    q, r = np.zeros((25, 23)), np.zeros((23, 23))
+    for i in range(23):
+        q[i : i + 3, i] = 1 / h[i], -1 / h[i] - 1 / h[i + 1], 1 / h[i + 1]
+        r[i, i] = (h[i] + h[i + 1]) / 3
+        if i < 22:
+            r[i, i + 1] = r[i + 1, i] = h[i + 1] / 6
+    for spar in (0.2, 0.5, 0.9):
+        lam = spar / (1 - spar)
+        want = np.linalg.solve(np.diag(w) + lam * q @ np.linalg.solve(r, q.T), w * y[:25])
+        np.testing.assert_allclose(smoothing_spline(y[:25], spar, x, w), want, atol=1e-9)
+    # two values at one place weigh as their mean twice; order does not matter
+    a = smoothing_spline(np.array([1.0, 3.0, 5.0, 2.0, 4.0]), 0.5, np.array([0.0, 1.0, 1.0, 2.0, 3.0]))
+    b = smoothing_spline(np.array([1.0, 4.0, 2.0, 4.0]), 0.5, np.array([0.0, 1.0, 2.0, 3.0]), np.array([1.0, 2.0, 1.0, 1.0]))
+    np.testing.assert_allclose(a, b[[0, 1, 1, 2, 3]])
+    np.testing.assert_allclose(smoothing_spline(y[[2, 0, 1]], 0.5, np.array([2.0, 0.0, 1.0])), smoothing_spline(y[:3])[[2, 0, 1]])
+    assert list(smoothing_spline(np.array([1.0, 2.0, 3.0]), 0.5, np.array([0.0, 0.0, 1.0]))) == [1, 2, 3]
+
+
+def test_hierarchy_tables(spark):
+    from cytospark.errors import GateError
+    from cytospark.operators import hierarchy as H
+
+    h = H.Hierarchy([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("a", "f")])
+    h.validate()
+    got = sorted(map(tuple, H.ancestor_table(spark.createDataFrame(h.edges(), "parent string, child string")).collect()))
+    assert got == sorted((g, a, k) for g in h.nodes() for k, a in enumerate(h.ancestors(g), 1))
+    with pytest.raises(GateError):
+        H.ancestor_table(spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string"))
+    assert H.ancestor_table(spark.createDataFrame([], "parent string, child string")).count() == 0
+    h.down["a"].append("c")
+    with pytest.raises(GateError):
+        h.validate()
+
+
+def test_plots(spark):
+    from cytospark.errors import EngineError
+    from cytospark.operators import raster as R
+
+    df = spark.createDataFrame([(0.5, 0.5), (1.0, 1.0), (1.0, 1.0)], "x double, y double")
+    told, plot = [], R.Plot("x", "y", (0.0, 2.0), (0.0, 2.0), colours="jet")
+    out = {(r["px"], r["py"]): tuple(r["rgb"]) for r in plot.draw(df, progress=lambda *a: told.append(a)).collect()}
+    assert len(out) == 2 and told == [("counts", 1 / 3), ("density", 2 / 3), ("colour", 1.0)]
+    for n, rgb in zip((1, 2), [out[k] for k in sorted(out)], strict=True):
+        assert rgb == tuple(round(np.interp(math.log10(n + 1), np.linspace(0, 1, 9), [c[i] for c in R.COLOUR_MAPS["jet"]])) for i in range(3))
+    assert plot.draw(df, cancelled=lambda: True) is None and len(R.COLOUR_MAPS) == 17
+    assert tuple(spark.range(1).select(*(c.alias(str(i)) for i, c in enumerate(R.Plot("x", "y", (3.0, 87.0), (5.0, 5.0)).axes()))).first()) == (0, 90, 4.5, 5.5)
+    with pytest.raises(EngineError):
+        R.colour(df["x"], "none")
+
+
+def test_masks_of_odd_bins(spark):
+    """Bins of an odd number of events overlap a third one's first event."""
+    from cytospark.operators import bins as B
+
+    for per in (5, 6, 7):
+        df = spark.range(40).withColumnRenamed("id", "event_idx")
+        bad = {2, 5, 6}
+        got = {r["event_idx"] for r in B.event_mask(df, spark.createDataFrame([(b,) for b in bad], "bin int"), per).where("not good").collect()}
+        assert got == {i for b in bad for i in range(*B.breaks(40, per)[b])}
