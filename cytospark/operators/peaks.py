@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -85,34 +87,61 @@ def bin_peaks(df: DataFrame, *by: str, removal: float = 1 / 3, remove_zeros: boo
     return _grouped(df, by, body, "peak_value double")
 
 
-def cluster_peaks(peaks: DataFrame, n_bins: DataFrame, least_percent: float = 10.0, *by: str) -> DataFrame:
-    """Peaks with cluster (from 1).
+def clusters(bins: np.ndarray, peaks: np.ndarray, n_bins: int, least_percent: float = 10.0, share: float = 0.5) -> np.ndarray:
+    """Cluster (from 1) of each peak, 0 for those of clusters that too few bins have; rows are sorted by bin, then peak.
 
     The reference count is the largest number of peaks that at least least_percent of the bins have (1 if none); its
-    bins' k-th peaks give cluster medians; each peak goes to the nearest, the first on ties. n_bins: by, n_bins.
+    bins' k-th peaks give cluster medians; each peak goes to the nearest, the first on ties. A cluster stays if at least
+    share of the bins have it.
     """
-    per = peaks.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("k"))
-    none = n_bins.join(per.groupBy(*by).agg(F.count(F.lit(1)).alias("some")), list(by), "left").select(*by, "n_bins", (F.col("n_bins") - F.coalesce("some", F.lit(0))).alias("f"), F.lit(0).cast("long").alias("k"))
-    freq = per.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("f")).join(n_bins, list(by)).select(*by, "n_bins", "f", "k").unionAll(none)
-    enough = F.col("f") >= F.ceil(F.lit(least_percent / 100.0) * F.col("n_bins"))
-    ref = freq.groupBy(*by).agg(F.coalesce(F.max(F.when(enough & (F.col("f") > 0), F.col("k"))), F.lit(1)).alias("ref"))
-    ordered = peaks.withColumn("pos", F.row_number().over(Window.partitionBy(*by, "bin").orderBy("peak_value")))
-    med = ordered.join(per, [*by, "bin"]).join(ref, list(by)).where("k = ref").groupBy(*by, "pos").agg(F.median("peak_value").alias("m"))
-    meds = med.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("meds"))  # as many as peaks in a bin
-    nearest = F.array_min(F.transform("meds", lambda x: F.struct(F.abs(F.col("peak_value") - x["m"]).alias("d"), x["pos"].alias("pos"))))["pos"]
-    return peaks.join(meds, list(by), "left").withColumn("cluster", F.coalesce(nearest, F.lit(1)).cast("int")).drop("meds")
-
-
-def drop_small_clusters(peaks: DataFrame, n_bins: DataFrame, share: float = 0.5, *by: str) -> DataFrame:
-    """Only clusters that at least share of the bins have."""
-    seen = peaks.groupBy(*by, "cluster").agg(F.countDistinct("bin").alias("seen")).join(n_bins, list(by))
-    return peaks.join(seen.where(F.col("seen") >= F.ceil(F.col("n_bins") * share)).select(*by, "cluster"), [*by, "cluster"], "left_semi")
-
-
-def features(peaks: DataFrame, n_bins: DataFrame, channel: str, *by: str) -> DataFrame:
-    """by, bin, channel, cluster, value: the bin's largest peak of the cluster, or the cluster's median."""
-    keys = [*by, channel, "cluster"]
-    med = peaks.groupBy(*keys).agg(F.median("peak_value").alias("med")).join(n_bins, list(by)) if by else peaks.groupBy(*keys).agg(F.median("peak_value").alias("med")).crossJoin(F.broadcast(n_bins))  # one row
-    grid = med.select(*keys, "med", F.explode(F.sequence(F.lit(0), F.col("n_bins").cast("int") - 1)).alias("bin"))
-    top = peaks.groupBy(*keys, "bin").agg(F.max("peak_value").alias("peak"))
-    return grid.join(top, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("peak", "med").alias("value"))
+    _, at, per = np.unique(bins, return_inverse=True, return_counts=True)
+    place = np.arange(len(bins)) - (np.cumsum(per) - per)[at]
+    freq = np.bincount(per)
+    freq[0] = n_bins - len(per)
+    enough = np.flatnonzero((freq > 0) & (freq >= math.ceil(least_percent / 100.0 * n_bins)))
+    ref = int(enough[-1]) if len(enough) else 1
+    typical = per[at] == ref
+    medians = np.array([np.median(peaks[typical & (place == k)]) for k in range(ref if typical.any() else 0)])
+    cluster = np.abs(peaks[:, None] - medians[None]).argmin(1) + 1 if len(medians) else np.ones(len(bins), int)
+    for c in np.unique(cluster):
+        if len(np.unique(bins[cluster == c])) < math.ceil(n_bins * share):
+            cluster[cluster == c] = 0
+    return cluster
+
+
+def _clustered(peaks: DataFrame, n_bins: DataFrame, body, schema: str, least_percent: float, share: float, by: tuple[str, ...], file: tuple[str, ...]) -> DataFrame:
+    """body(bins, peaks, cluster, number of bins) of each group of bins of a file's channel (by), a few rows a bin."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("bin", "ascending"), ("peak_value", "ascending")])
+        bins, values, n = t.column("bin").to_numpy(), t.column("peak_value").to_numpy(), t.column("n_bins")[0].as_py()
+        cluster = clusters(bins, values, n, least_percent, share)
+        kept = cluster > 0
+        out = body(bins[kept], values[kept], cluster[kept], n)
+        keys = [pa.array([t.column(k)[0].as_py()] * len(out[0]), t.schema.field(k).type) for k in by]
+        return pa.table([*keys, *map(pa.array, out)], names=[*by, *names])
+
+    ship(peaks.sparkSession)
+    types = dict(peaks.dtypes)
+    x = peaks.join(n_bins, list(file)) if file else peaks.crossJoin(F.broadcast(n_bins))  # one row
+    return x.groupBy(*by).applyInArrow(run, "".join(f"`{k}` {types[k]}, " for k in by) + schema)
+
+
+def cluster_peaks(peaks: DataFrame, n_bins: DataFrame, least_percent: float = 10.0, share: float = 0.5, channel: str = "channel", *by: str) -> DataFrame:
+    """by, channel, bin, peak_value, cluster of the peaks in clusters that stay. n_bins: by, n_bins."""
+    return _clustered(peaks, n_bins, lambda b, v, c, _: (b, v, c.astype(np.int32)), "bin int, peak_value double, cluster int", least_percent, share, (*by, channel), by)
+
+
+def features(peaks: DataFrame, n_bins: DataFrame, least_percent: float = 10.0, share: float = 0.5, channel: str = "channel", *by: str) -> DataFrame:
+    """by, channel, cluster, bin, value of every bin: its largest peak of the cluster, or the cluster's median."""
+    def body(bins, values, cluster, n):
+        names = np.unique(cluster)
+        grid = np.empty((len(names), n))
+        for i, c in enumerate(names):
+            mine = cluster == c
+            grid[i] = np.median(values[mine])
+            grid[i, bins[mine]] = values[mine]  # ascending within a bin: the largest is last
+        return np.repeat(names, n).astype(np.int32), np.tile(np.arange(n, dtype=np.int32), len(names)), grid.ravel()
+
+    return _clustered(peaks, n_bins, body, "cluster int, bin int, value double", least_percent, share, (*by, channel), by)

@@ -42,13 +42,8 @@ def binned_long(df: DataFrame, channels, per_bin: int | Column, *by: str) -> Dat
     return x.select(*by, "bin", pairs.alias("p")).select(*by, "bin", "p.*")
 
 
-def found_peaks(long: DataFrame, n_bins: DataFrame, config: Config, *by: str) -> DataFrame:
-    # every bin's density once; what follows reads a few rows a bin several times
-    p = written(K.bin_peaks(long, *by, "bin", "channel", removal=config.removal, remove_zeros=config.remove_zeros), "peaks")
-    channels = p.select(*by, "channel").distinct()
-    n = channels.join(n_bins, list(by)) if by else channels.crossJoin(F.broadcast(n_bins))  # one row
-    p = written(K.cluster_peaks(p, n, config.least_percent, *by, "channel"), "clusters")
-    return K.drop_small_clusters(p, n, 0.5, *by, "channel")
+def found_peaks(long: DataFrame, config: Config, *by: str) -> DataFrame:
+    return K.bin_peaks(long, *by, "bin", "channel", removal=config.removal, remove_zeros=config.remove_zeros)
 
 
 def sized(df: DataFrame, sizes: DataFrame, config: Config) -> tuple[DataFrame, int | Column]:
@@ -74,10 +69,9 @@ def bin_verdicts(df: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     sizes = sizes.withColumn("per_bin_", per_bin)
     n_bins = sizes.select(*by, F.ceil(F.col("n") / B.bin_step(F.col("per_bin_"))).cast("long").alias("n_bins"))
     df, per_bin = sized(df, sizes, config)
-    n_bins = written(n_bins, "n_bins")
-    peaks = found_peaks(binned_long(df, config.channels, per_bin, *by), n_bins, config, *by)
-    # peaks, features and verdicts have a row a bin at most times clusters: written, as each is used several times
-    feats = written(K.features(peaks, n_bins, "channel", *by), "features")
+    peaks = found_peaks(binned_long(df, config.channels, per_bin, *by), config, *by)
+    # features and verdicts have a row a bin at most times clusters: written, as each is used several times
+    feats = written(K.features(peaks, n_bins, config.least_percent, 0.5, "channel", *by), "features")
     bins = n_bins.select(*by, F.explode(F.sequence(F.lit(0), F.col("n_bins").cast("int") - 1)).alias("bin"))
     none = F.lit(False)
     tree = O.tree_bins(feats, config.tree_limit, config.force_tree, *by) if config.mode in ("all", "tree") else bins.withColumn("bad", none)
@@ -186,8 +180,7 @@ def _n_bins(spark, sf, per: int = PER) -> DataFrame:
 
 
 def _features(spark, sf, per: int = PER) -> DataFrame:
-    n = written(_n_bins(spark, sf, per), "n_bins")
-    return K.features(found_peaks(_long(spark, sf, per), n, Config(("value",))), n, "channel")
+    return K.features(found_peaks(_long(spark, sf, per), Config(("value",))), _n_bins(spark, sf, per))
 
 
 def _smoothed(spark, sf, per: int) -> DataFrame:
@@ -268,7 +261,7 @@ def kde_peaks(spark, sf):
 
 @query(f"{CHAIN} select bin, round(peak_value, 6) as peak_value, cluster from kept")
 def peak_clusters(spark, sf):
-    p = found_peaks(_long(spark, sf), _n_bins(spark, sf), Config(("value",)))
+    p = K.cluster_peaks(found_peaks(_long(spark, sf), Config(("value",))), _n_bins(spark, sf))
     return p.select(F.col("bin").cast("long").alias("bin"), F.round("peak_value", 6).alias("peak_value"), "cluster")
 
 
