@@ -200,7 +200,7 @@ def discounts(n: list[int]) -> np.ndarray:
 class Katz:
     """The model's rounds over a corpus; the written tables are ``words``, ``grams-k`` and ``contexts-k``."""
 
-    def __init__(self, docs: DataFrame, stash: Stash, batch_bytes: int = 1 << 24, order: int = 2):
+    def __init__(self, docs: DataFrame, stash: Stash, batch_bytes: int = 1 << 23, order: int = 2):
         self.stash, self.order = stash, order
         self.batches = stash(batched(docs, batch_bytes), "batches")
         self.parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
