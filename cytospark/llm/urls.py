@@ -6,8 +6,10 @@ redirects in the html (all of them; relative ones are resolved, ``&amp;`` is rea
 Any other page gets its component's: allow if a rule allows any url in it, else block if a rule blocks one, else
 allow; targets, and urls of the links table, that are no rows of pages count as well (the SQL knows rows only). Everything is DataFrame functions; components are found by distributed rounds over the edges.
 
-Null urls and urls without ``://`` have empty host and path, no node, and are allowed unless a rule fits. Repeated rows
-are judged each for itself. Extra columns are not read. An empty table gives an empty result.
+Null urls and urls without ``://`` have empty host and path, no node, and are allowed unless a rule fits. Of fitting rules
+of one length the least is taken. Repeated rows, and rows of one page_id (null or not) with other urls, are judged each for
+itself. Html of any length is read whole; null html names no target. Extra columns are not read. An empty table gives an
+empty result. Nodes are 64-bit hashes of urls.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ RULES = (
     ("block", "example.net/de/8"), ("block", "org/es/"),
 )
 
-#: Rules become one conditional expression; a longer list would exceed what generated code holds.
+#: Up to so many rules are one conditional expression; a longer list is joined as a table on the hosts' suffixes.
 MOST_RULES = 500
 
 
@@ -40,9 +42,7 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 
 def fitting(rules, host: Column, path: Column) -> tuple[Column, Column]:
-    """(rule, its verdict) of the longest fitting rule; nulls where none fits."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+    """(rule, its verdict) of the longest fitting rule (of equal ones the least); nulls where none fits."""
     rule = verdict = None
     for v, r in sorted(rules, key=lambda x: (-len(x[1]), x[1])):
         h, _, p = r.partition("/")
@@ -53,6 +53,20 @@ def fitting(rules, host: Column, path: Column) -> tuple[Column, Column]:
     return (none, none) if rule is None else (rule, verdict)
 
 
+def fitted(urls: DataFrame, rules, stash: Stash, name: str) -> DataFrame:
+    """urls (host, path, more) with rule and said: of the longest fitting rule, of equal ones the least."""
+    if len(rules) <= MOST_RULES:
+        rule, verdict = fitting(rules, F.col("host"), F.col("path"))
+        return urls.select("*", rule.alias("rule"), verdict.alias("said"))
+    rows = [(h, "/" + p, r, v) for v, r in rules for h, _, p in [r.partition("/")]]
+    known = urls.sparkSession.createDataFrame(rows, "h string, start string, rule string, said string")
+    own = stash(urls.select("*", F.monotonically_increasing_id().alias("number")), name)
+    suffix = let(F.split("host", r"\."), lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), ".")))
+    hits = own.select("number", "path", F.explode(suffix).alias("h")).join(known, "h").where(F.col("path").startswith(F.col("start")))
+    best = hits.groupBy("number").agg(F.min(F.struct((-F.length("rule")).alias("n"), "rule", "said")).alias("best"))
+    return own.join(stash(best, f"{name}-best"), "number", "left").select(*urls.columns, "best.rule", "best.said")
+
+
 def node(url: Column) -> Column:
     """A url's node; null without ``://``."""
     host, path = host_path(url)
@@ -102,9 +116,8 @@ def targets(html: Column, url: Column) -> Column:
 
 def judge(pages: DataFrame, stash: Stash, rules=RULES, links: DataFrame | None = None) -> DataFrame:
     host, path = host_path(F.col("url"))
-    rule, verdict = fitting(rules, F.col("host"), F.col("path"))
-    p = pages.select("page_id", "url", host.alias("host"), path.alias("path"), targets(F.col("html"), F.col("url")).alias("to"))
-    p = stash(p.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"), node(F.col("url")).alias("node"), "to"), "scan")
+    p = pages.select("page_id", host.alias("host"), path.alias("path"), node(F.col("url")).alias("node"), targets(F.col("html"), F.col("url")).alias("to"))
+    p = stash(fitted(p, rules, stash, "pages"), "scan")
     aims = p.select(F.col("node").alias("a"), F.explode("to").alias("url"))
     edges = aims.select("a", node(F.col("url")).alias("b"))
     named = aims.select("url")
@@ -115,7 +128,7 @@ def judge(pages: DataFrame, stash: Stash, rules=RULES, links: DataFrame | None =
     # written before they are joined: the largest component is a key that Spark can then split
     placed = stash(p.join(cc, "node", "left").select("page_id", "host", "path", "rule", "said", F.coalesce("component", "node").alias("group")), "placed")
     # urls that edges name are judged as well: most targets of redirects are no rows of pages
-    judged = named.select(node(F.col("url")).alias("node"), *(c.alias(n) for c, n in zip(host_path(F.col("url")), ("host", "path"), strict=True))).select("node", verdict.alias("said"))
+    judged = fitted(named.select(node(F.col("url")).alias("node"), host.alias("host"), path.alias("path")), rules, stash, "named").select("node", "said")
     judged = judged.where("node is not null and said is not null").distinct().join(cc, "node", "left").select(F.coalesce("component", "node").alias("group"), "said")
     said = placed.where("said is not null and group is not null").select("group", "said").unionAll(judged)
     said = stash(said.groupBy("group").agg(F.max(F.col("said") == "allow").alias("allowed")), "said")

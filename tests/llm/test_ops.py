@@ -131,6 +131,19 @@ def test_urls_that_are_no_rows(spark):
     assert got == {1: (None, "block"), 2: (None, "block"), 3: ("org/es/", "block"), 4: (None, "allow"), 5: (None, "block"), 6: (None, "block"), 7: (None, "block"), 8: (None, "allow")}
 
 
+def test_long_lists_of_rules(spark, monkeypatch):
+    """Joined on host suffixes, rules give what the conditional expression gives."""
+    rng = np.random.default_rng(3)
+    hosts = ["com", "a.com", "b.a.com", "net", "x.net", "com.net", "b"]
+    rules = [(("block", "allow")[int(rng.integers(2))], f"{h}/{p}") for h in hosts for p in ("", "q", "qq/", "r/s")]
+    rows = [(i, f"http://{h}/{p}", link) for i, (h, p, link) in enumerate((h, p, k) for h in [*hosts, "z.b.a.com", "acom", "nothing.org"] for p in ("", "q", "qq/1", "r/s/t", "u") for k in (None, '<link rel=canonical href="http://a.com/qq/7">'))]
+    df = spark.createDataFrame([*rows, (None, None, None), (3, "http://a.com/q", "")], "page_id long, url string, html string").selectExpr("*", "1 as number", "2 as best")
+    run = lambda: collections.Counter(map(tuple, urls.judge(df, Stash(spark), rules).collect()))
+    want = run()
+    monkeypatch.setattr(urls, "MOST_RULES", 3)
+    assert run() == want and len({r[3] for r in want}) > 10
+
+
 def test_url_targets(spark):
     """Relative, escaped and later targets; what only looks like a url or names no other page."""
     link, meta = (lambda u: f'<link rel="canonical" href="{u}">'), (lambda c: f'<meta http-equiv="refresh" content="{c}">')
