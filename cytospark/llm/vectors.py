@@ -114,6 +114,20 @@ def prepared(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding").mapInArrow(run, "vec_id long, label long, ok boolean, k1 long, k2 long, e binary")
 
 
+def merged(least: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """least[i], the smallest place linked with i, after the links x[k], y[k] as well."""
+    while True:
+        a, b = least[x], least[y]
+        new = a != b
+        if not new.any():
+            return least
+        least = least.copy()
+        np.minimum.at(least, np.maximum(a, b)[new], np.minimum(a, b)[new])
+        while (least[least] != least).any():
+            least = least[least]
+        x, y = x[new], y[new]
+
+
 ROW = "label long, bundle int, asks boolean, id long, m long, e binary, list int, codes binary, err double"
 
 
@@ -161,13 +175,8 @@ def _search(index: Index, cosine: float, reach: float, bundles: int):
         members = {v: np.flatnonzero(~asks & (own == v)) for v in np.unique(own[~asks]).tolist()}
         query = np.flatnonzero(asks)
         total = np.zeros(len(ids), np.int64)
-        parent = {}
-
-        def root(v):
-            while parent.setdefault(v, v) != v:
-                parent[v] = v = parent[parent[v]]
-            return v
-
+        names, who = np.unique(ids, return_inverse=True)
+        least = np.arange(len(names))  # of the vectors linked so far, by place among names
         for k in range(0, len(query), 256):
             visits = index.probes(raw[query[k : k + 256]] / norm[query[k : k + 256], None], own[query[k : k + 256]], reach)
             for v, member in members.items():
@@ -186,14 +195,10 @@ def _search(index: Index, cosine: float, reach: float, bundles: int):
                 np.add.at(total, i, m[j])
                 other = own[i] % bundles != at
                 np.add.at(total, j[other], m[i[other]])
-                for a, b in zip(ids[i].tolist(), ids[j].tolist(), strict=True):
-                    a, b = root(a), root(b)
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
-        some = np.flatnonzero(total)
-        up = [(v, r) for v in list(parent) if (r := root(v)) != v]
-        a, b, n = ids[some].tolist() + [v for v, _ in up], [None] * len(some) + [r for _, r in up], total[some].tolist() + [0] * len(up)
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+                least = merged(least, who[i], who[j])
+        some, up = np.flatnonzero(total), np.flatnonzero(least != np.arange(len(names)))
+        a, n = np.concatenate([ids[some], names[up]]), np.concatenate([total[some], np.zeros(len(up), np.int64)])
+        return pa.table([pa.array(a), pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(names[least[up]])]), pa.array(n)], names=["a", "b", "n"])
 
     return run
 

@@ -274,6 +274,17 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.where("vec_id >= 410"), Stash(spark)).count() == 7
 
 
+def test_merged():
+    rng = np.random.default_rng(7)
+    least, g = np.arange(300), data.Groups()
+    for _ in range(6):
+        x, y = rng.integers(0, 300, 40), rng.integers(0, 300, 40)
+        least = vectors.merged(least, x, y)
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            g.join(a, b)
+    assert least.tolist() == [g.find(i) for i in range(300)]
+
+
 def test_vectors_of_low_rank(spark):
     """Many vectors close to borders of lists: all links are found, and count for both ends."""
     rng = np.random.default_rng(4)
