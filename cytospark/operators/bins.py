@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import QcError
+from .events import dense_index
 
 
 def events_per_bin(n: int, min_cells: int = 150, max_bins: int = 500, step: int = 500) -> int:
@@ -94,7 +95,6 @@ def event_mask(events: DataFrame, bad_bins: DataFrame, per_bin: int | Column, in
 
 def unstable_regions(events: DataFrame, good: str = "good", order: str = "event_idx", *by: str) -> DataFrame:
     """First and last event of maximal runs of bad events: bad events whose index less their rank is equal."""
-    bad = events.where(~F.col(good))
-    w = Window.partitionBy(*by).orderBy(order)
-    grouped = bad.withColumn("g_", F.col(order) - F.row_number().over(w))
+    ranks = dense_index(events.where(~F.col(good)).select(*by, F.col(order).alias("at_")), "at_", *by)
+    grouped = ranks.select(*by, F.col("at_").alias(order), (F.col("at_") - F.col("event_idx")).alias("g_"))
     return grouped.groupBy(*by, "g_").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count(F.lit(1)).alias("n")).drop("g_")

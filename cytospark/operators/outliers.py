@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import QcError
 from ..session import ship
+from .stats import median_mad
 
 EULER = 0.5772156649
 MAD_SCALE = 1.4826
@@ -211,6 +212,5 @@ def doublets(df: DataFrame, area: str, height: str, *by: str, nmad: float = 4.0,
     """df with ratio = A / (1e-10 + H + b) and single: ratio below its file's (by) median + nmad scaled MADs."""
     x = df.withColumn("ratio", F.col(f"`{area}`") / (F.lit(1e-10) + F.col(f"`{height}`") + F.lit(b)))
     with_ = lambda x, y: x.join(y, list(by)) if by else x.crossJoin(F.broadcast(y))  # noqa: E731  one row
-    x = with_(x, x.groupBy(*by).agg(F.median("ratio").alias("med_")))
-    mad = x.groupBy(*by).agg((F.median(F.abs(F.col("ratio") - F.col("med_"))) * F.lit(MAD_SCALE)).alias("mad_"))
-    return with_(x, mad).select(*df.columns, "ratio", (F.col("ratio") < F.col("med_") + nmad * F.col("mad_")).alias("single"))
+    spread = median_mad(x.select(*by, "ratio"), "ratio", *by).select(*by, F.col("median").alias("med_"), (F.col("mad") * F.lit(MAD_SCALE)).alias("mad_"))
+    return with_(x, spread).select(*df.columns, "ratio", (F.col("ratio") < F.col("med_") + nmad * F.col("mad_")).alias("single"))

@@ -245,3 +245,23 @@ def test_masks_of_odd_bins(spark):
         bad = {2, 5, 6}
         got = {r["event_idx"] for r in B.event_mask(df, spark.createDataFrame([(b,) for b in bad], "bin int"), per).where("not good").collect()}
         assert got == {i for b in bad for i in range(*B.breaks(40, per)[b])}
+
+
+def test_order_statistics(spark):
+    """Groups ranked whole, groups ranked between bounds, ties, nulls, empty tables."""
+    from cytospark.operators import stats as S
+
+    rng = np.random.default_rng(12)
+    groups = {"a": rng.normal(size=30_000), "b": np.round(rng.normal(size=12_000), 1), "c": np.array([3.0, 1.0, 2.0]), "d": np.full(20_000, 7.0)}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v] + [("a", None)] * 5, "g string, v double").repartition(5)
+    ranks = {"p": (0.25, lambda n: F.floor(n / 4)), "q": (0.99, lambda n: F.floor(n * 0.99)), "z": (0.0, lambda n: F.lit(0))}
+    for accuracy in (10_000, 1000):
+        got = {r["g"]: (r["n_"], r["p"], r["q"], r["z"]) for r in S.order_statistics(df, "v", ranks, "g", accuracy=accuracy).collect()}
+        for g, v in groups.items():
+            s = np.sort(v)
+            assert got[g] == (len(s), s[len(s) // 4], s[math.floor(len(s) * 0.99)], s[0])
+    for r in S.median_mad(df, "v", "g").collect():
+        v = groups[r["g"]]
+        assert math.isclose(r["median"], np.median(v), abs_tol=1e-12) and math.isclose(r["mad"], np.median(np.abs(v - np.median(v))), abs_tol=1e-12)
+    assert math.isclose(S.exact_median(df, "v", "m").first()["m"], np.median(np.concatenate(list(groups.values()))))
+    assert S.index_iqr(df.where("g = 'c'"), "v").first()["iqr"] == 2.0 and S.order_statistics(df.where("false"), "v", ranks, "g").count() == 0
