@@ -290,7 +290,6 @@ def groups(docs: DataFrame, stash: Stash) -> tuple[DataFrame, DataFrame, DataFra
     sk = stash(sketch(docs), "sketch")
     cls = sk.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "t")).alias("row"), F.first("sig").alias("sig"))
     reps = stash(cls.select(F.monotonically_increasing_id().alias("id"), "row", "n", "k1", "k2", "sig"), "reps")
-    stash.release()
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     keys = reps.select("id", "sig", band.alias("i")).select(F.xxhash64("i", F.substring("sig", F.col("i") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("key"), "id", "i")
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo")
@@ -298,7 +297,6 @@ def groups(docs: DataFrame, stash: Stash) -> tuple[DataFrame, DataFrame, DataFra
     shared = stash(shared, "shared")
     stash.release()
     hits = stash(keys.join(shared, "key"), "hits")
-    stash.release()
     met = hits.select("id").distinct().join(reps.select("id", "row"), "id").select("id", F.col("row.doc_id").alias("doc_id"), F.col("row.t").alias("t"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").join(met, ["doc_id", "t"]).select("id", "text").dropDuplicates(["id"])
     texts = stash(texts, "texts")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stash, table
-from .components import components
+from .components import components, merged
 
 COSINE = 0.93
 
@@ -114,20 +114,6 @@ def prepared(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding").mapInArrow(run, "vec_id long, label long, ok boolean, k1 long, k2 long, e binary")
 
 
-def merged(least: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """least[i], the smallest place linked with i, after the links x[k], y[k] as well."""
-    while True:
-        a, b = least[x], least[y]
-        new = a != b
-        if not new.any():
-            return least
-        least = least.copy()
-        np.minimum.at(least, np.maximum(a, b)[new], np.minimum(a, b)[new])
-        while (least[least] != least).any():
-            least = least[least]
-        x, y = x[new], y[new]
-
-
 ROW = "label long, bundle int, asks boolean, id long, m long, e binary, list int, codes binary, err double"
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cytospark.llm import chat, katz, mixing, neardup, packing, quality, repeats, sharding, urls, vectors
 from cytospark.llm.common import Stash
-from cytospark.llm.components import components
+from cytospark.llm.components import components, merged
 
 from . import data
 
@@ -29,7 +29,12 @@ def none(spark):
     return data.frame(spark, ROWS[:1]).where("false")
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [100_000, 60, 1])
+def test_components(spark, monkeypatch, most):
+    """All edges in one task, the last ones, and none (as far as more than one is left)."""
+    from cytospark.llm import components as module
+
+    monkeypatch.setattr(module, "EDGES_A_TASK", most)
     rng = np.random.default_rng(0)
     edges = [(i, i + 1) for i in range(100, 180)] + [(500, x) for x in range(501, 560)] + [tuple(map(int, e)) for e in rng.integers(1000, 1200, (120, 2))] + [(7, 7), (None, 3), (5, 4), (5, 4)]
     g = data.Groups()
@@ -279,7 +284,7 @@ def test_merged():
     least, g = np.arange(300), data.Groups()
     for _ in range(6):
         x, y = rng.integers(0, 300, 40), rng.integers(0, 300, 40)
-        least = vectors.merged(least, x, y)
+        least = merged(least, x, y)
         for a, b in zip(x.tolist(), y.tolist(), strict=True):
             g.join(a, b)
     assert least.tolist() == [g.find(i) for i in range(300)]
