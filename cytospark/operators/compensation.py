@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ChannelError
 from ..functions.transforms import PREPROCESS_COFACTOR, Arcsinh, Biexponential, fluorescence_channels
-from ..session import ship
+from ..session import beside, grouped, ship
 from ..sources import keywords as K
 
 
@@ -79,7 +79,7 @@ def compensate_files(df: DataFrame, keywords: DataFrame, channels: list[str]) ->
         raise ChannelError(f"missing channels: {missing}")
     n = len(channels)
     raw = [F.col(f"`{c}`").cast("double") for c in channels]
-    x = df.join(inverses(keywords, channels).withColumnRenamed("inverse", "inverse_"), "file_id", "left")
+    x = beside(df, grouped(inverses(keywords, channels).withColumnRenamed("inverse", "inverse_"), "inverses", "file_id"), "file_id", how="left")
     row = lambda i: sum((F.get("inverse_", F.lit(i * n + j)) * raw[j] for j in range(1, n)), F.get("inverse_", F.lit(i * n)) * raw[0])
     return x.withColumns({c: F.when(F.col("inverse_").isNull(), raw[i]).otherwise(row(i)) for i, c in enumerate(channels)}).select(*df.columns)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QcError
-from ..session import ship
+from ..session import beside, grouped, ship
 from .stats import median_mad
 
 EULER = 0.5772156649
@@ -196,7 +196,7 @@ def margins(df: DataFrame, ranges: dict[str, tuple[float, float] | None], *by: s
     """
     channels = list(ranges)
     ext = df.groupBy(*by).agg(*(f(F.col(f"`{c}`")).alias(f"{n}_{i}_") for i, c in enumerate(channels) for n, f in (("lo", F.min), ("hi", F.max))))
-    x = df.join(ext, list(by)) if by else df.crossJoin(F.broadcast(ext))  # one row
+    x = beside(df, grouped(ext, "extremes", *by), *by)
     gone, counts = F.lit(False), []
     for i, c in enumerate(channels):
         v, lo, hi = F.col(f"`{c}`"), F.col(f"lo_{i}_"), F.col(f"hi_{i}_")
@@ -211,6 +211,5 @@ def margins(df: DataFrame, ranges: dict[str, tuple[float, float] | None], *by: s
 def doublets(df: DataFrame, area: str, height: str, *by: str, nmad: float = 4.0, b: float = 0.0) -> DataFrame:
     """df with ratio = A / (1e-10 + H + b) and single: ratio below its file's (by) median + nmad scaled MADs."""
     x = df.withColumn("ratio", F.col(f"`{area}`") / (F.lit(1e-10) + F.col(f"`{height}`") + F.lit(b)))
-    with_ = lambda x, y: x.join(y, list(by)) if by else x.crossJoin(F.broadcast(y))  # noqa: E731  one row
     spread = median_mad(x.select(*by, "ratio"), "ratio", *by).select(*by, F.col("median").alias("med_"), (F.col("mad") * F.lit(MAD_SCALE)).alias("mad_"))
-    return with_(x, spread).select(*df.columns, "ratio", (F.col("ratio") < F.col("med_") + nmad * F.col("mad_")).alias("single"))
+    return beside(x, grouped(spread, "spreads", *by), *by).select(*df.columns, "ratio", (F.col("ratio") < F.col("med_") + nmad * F.col("mad_")).alias("single"))

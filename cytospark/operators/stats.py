@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import beside, grouped
+
 
 def channel_summary(df: DataFrame, channel: str, *by: str) -> DataFrame:
     """min, max, mean, sample standard deviation."""
@@ -71,7 +73,7 @@ def order_statistics(df: DataFrame, value: str, ranks: dict[str, tuple[float, ob
     bound = lambda i, end: F.when(small | F.lit(ends[i] in (0.0, 1.0)), F.col(end)).otherwise(F.get("ends_", F.lit(i)))
     spans = [F.struct(F.lit(i).alias("i"), bound(2 * i, "min_").alias("lo"), bound(2 * i + 1, "max_").alias("hi")) for i in range(len(shares))]
     first = first.select(*by, F.struct("n_", "min_", "max_").alias("all_"), F.array(*spans).alias("spans_"))
-    both = x.join(first, list(by)) if by else x.crossJoin(F.broadcast(first))  # one row
+    both = beside(x, grouped(first, "bounds", *by), *by)
     if len(shares) == 1:
         near = both.select(*by, "v_", "all_", F.col("spans_")[0].alias("s_")).where(v <= F.col("s_.hi"))
     else:
@@ -93,10 +95,10 @@ def exact_median(df: DataFrame, value: str, name: str, *by: str) -> DataFrame:
 
 def median_mad(df: DataFrame, value: str, *by: str) -> DataFrame:
     """median, raw MAD and MAD times 1.4826, exact; no group's values meet in one task."""
-    both = lambda a, b: a.join(b, list(by)) if by else a.crossJoin(F.broadcast(b))  # noqa: E731  one row
-    med = exact_median(df, value, "median", *by)
-    far = both(df, med).select(*by, F.abs(F.col(f"`{value}`") - F.col("median")).alias("far_"))
-    return both(med, exact_median(far, "far_", "mad", *by)).withColumn("mad_scaled", F.col("mad") * F.lit(1.4826))
+    med = grouped(exact_median(df, value, "median", *by), "medians", *by)
+    far = beside(df, med, *by).select(*by, F.abs(F.col(f"`{value}`") - F.col("median")).alias("far_"))
+    mad = exact_median(far, "far_", "mad", *by)
+    return (med.join(mad, list(by)) if by else med.crossJoin(F.broadcast(mad))).withColumn("mad_scaled", F.col("mad") * F.lit(1.4826))
 
 
 def index_iqr(df: DataFrame, value: str, *by: str) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import events as E
 from ..operators import outliers as O
 from ..operators import peaks as K
 from ..operators import trend as T
-from ..session import ship, written
+from ..session import beside, grouped, ship, written
 from .catalogue import EVENTS, ORACLE, QUERIES, events, query, rounded  # noqa: F401
 
 
@@ -50,9 +50,7 @@ def sized(df: DataFrame, sizes: DataFrame, config: Config) -> tuple[DataFrame, i
     """df and the events a bin: the given number, or a column per_bin_, of sizes, of each file's own."""
     if config.per_bin:
         return df, config.per_bin
-    sizes = sizes.select(*config.by, "per_bin_")
-    df = df.join(sizes, list(config.by)) if config.by else df.crossJoin(F.broadcast(sizes))  # one row
-    return df, F.col("per_bin_")
+    return beside(df, sizes.select(*config.by, "per_bin_"), *config.by), F.col("per_bin_")
 
 
 def bin_verdicts(df: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +58,7 @@ def bin_verdicts(df: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     if not config.channels:
         raise QcError("no channels")
     by = list(config.by)
-    sizes = df.groupBy(*by).agg((F.max("event_idx") + 1).alias("n"))
+    sizes = grouped(df.groupBy(*by).agg((F.max("event_idx") + 1).alias("n")), "sizes", *by)
     if not sizes.agg(F.max("n")).first()[0]:
         raise QcError("no events")
     if config.per_bin:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +28,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def grouped(groups: DataFrame, name: str, *by: str) -> DataFrame:
+    """groups, a row for each by, to be joined beside rows: written, so that Spark knows their size before it plans the join.
+    Without by they are one row and stay a plan."""
+    return written(groups, name) if by else groups
+
+
+def beside(df: DataFrame, groups: DataFrame, *by: str, how: str = "inner") -> DataFrame:
+    """df with the columns of its row of groups (see ``grouped``); rows whose by holds a null have none.
+
+    Few groups are broadcast, and no row of df is dealt out by a key of few values. Where they are too many for that, a
+    group's rows may be most of df: the join's key is a struct, which is no key of what follows, so that Spark can split it.
+    """
+    if not by:
+        return df.crossJoin(F.broadcast(groups))  # one row
+    whole = F.when(reduce(Column.__and__, (F.col(k).isNotNull() for k in by)), F.struct(*by)).alias("by_")
+    return df.select("*", whole).join(groups.select(whole, *(F.col(f"`{c}`") for c in groups.columns if c not in by)), "by_", how).drop("by_")
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package once a session, wherever their Python's path leads."""
     context = spark.sparkContext

@@ -265,3 +265,43 @@ def test_order_statistics(spark):
         assert math.isclose(r["median"], np.median(v), abs_tol=1e-12) and math.isclose(r["mad"], np.median(np.abs(v - np.median(v))), abs_tol=1e-12)
     assert math.isclose(S.exact_median(df, "v", "m").first()["m"], np.median(np.concatenate(list(groups.values()))))
     assert S.index_iqr(df.where("g = 'c'"), "v").first()["iqr"] == 2.0 and S.order_statistics(df.where("false"), "v", ranks, "g").count() == 0
+
+
+def test_few_files_are_broadcast(spark):
+    """Rows of few large files meet their file's values where they are: no task reads a file's rows."""
+    from cytospark.operators import stats as S
+
+    v = F.col("id") * 7919 % 1000
+    df = spark.range(0, 2_000_000, 1, 5).select((F.col("id") % 3).cast("string").alias("file"), v.cast("double").alias("a"), (v % 7 + 1).cast("double").alias("h"))
+    for got in (S.median_mad(df, "a", "file"), S.index_iqr(df, "a", "file"), S.percentile_bounds(df, "a", 0.01, 0.99, "file"), O.doublets(df, "a", "h", "file"), O.margins(df, {"a": None}, "file")[0]):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    values = [np.arange(f, 2_000_000, 3) * 7919 % 1000 for f in range(3)]
+    assert {tuple(r) for r in S.median_mad(df, "a", "file").select("file", "median", "mad").collect()} == {(str(f), m := np.median(x), np.median(np.abs(x - m))) for f, x in enumerate(values)}
+
+
+def test_many_files_with_a_large_one(spark):
+    """Where files are too many to broadcast, Spark splits the large one; rows without a file have no values."""
+    from cytospark.operators import stats as S
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    i = F.col("id")
+    df = spark.range(0, 50_000, 1, 5).select(F.when(i % 10 == 0, i % 7000).when(i % 10 < 9, F.lit(-1)).alias("file"), (i * 7919 % 50_000).cast("double").alias("a"), F.lit(1.0).alias("h"))
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, x in conf.items():
+        spark.conf.set(k, x)
+    try:
+        got = {r["file"]: (r["median"], r["mad"]) for r in S.median_mad(df, "a", "file").collect()}
+        single = O.doublets(df, "a", "h", "file", nmad=1.0).groupBy("file").agg(F.count_if("single").alias("n"))
+        counts = {r["file"]: r["n"] for r in single.collect()}
+        plan = single._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x) if x is not None else spark.conf.unset(k)
+    pdf = df.toPandas().dropna()
+    want = {f: (m := np.median(a), np.median(np.abs(a - m))) for f, a in ((f, g["a"].to_numpy()) for f, g in pdf.groupby("file"))}
+    assert got == want and "skew=true" in plan
+    ratio = pdf["a"] / (1e-10 + pdf["h"])
+    far = pdf["file"].map(ratio.groupby(pdf["file"]).median())
+    mad = pdf["file"].map((ratio - far).abs().groupby(pdf["file"]).median()) * O.MAD_SCALE
+    assert counts == (ratio < far + mad).groupby(pdf["file"]).sum().to_dict()
